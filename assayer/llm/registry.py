@@ -66,5 +66,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-QUERIES = {"op2_media": op2_media, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe}
-SQL: dict[str, str] = {"op5_chat": OP5_SQL}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets
+), entries AS (SELECT doc_id, unnest(s) AS shingle FROM sets
+), overlaps AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM overlaps JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM sizes
+  UNION SELECT edges.b, reach.c FROM reach JOIN edges ON edges.a = reach.doc_id
+)
+SELECT sizes.doc_id, sizes.n AS n_shingles, min(reach.c) AS component_id
+FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id, sizes.n
+"""
+
+QUERIES = {"op2_media": op2_media, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe, "op10_jaccard": op10_jaccard}
+SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op10_jaccard": OP10_SQL}
