@@ -80,10 +80,10 @@ WITH RECURSIVE words AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
 ), sizes AS (SELECT doc_id, len(s) AS n FROM sets
 ), entries AS (SELECT doc_id, unnest(s) AS shingle FROM sets
-), overlaps AS (
+), shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT a, b FROM overlaps JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
 ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
   SELECT doc_id, doc_id AS c FROM sizes
