@@ -23,6 +23,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm import media
 
@@ -93,5 +112,5 @@ SELECT sizes.doc_id, sizes.n AS n_shingles, min(reach.c) AS component_id
 FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id, sizes.n
 """
 
-QUERIES = {"op2_media": op2_media, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe, "op10_jaccard": op10_jaccard}
-SQL: dict[str, str] = {"op5_chat": OP5_SQL, "op10_jaccard": OP10_SQL}
+QUERIES = {"op1_topk": op1_topk, "op2_media": op2_media, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe, "op10_jaccard": op10_jaccard}
+SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op5_chat": OP5_SQL, "op10_jaccard": OP10_SQL}
