@@ -53,6 +53,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op3_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.packing import pack
 
@@ -112,5 +118,5 @@ SELECT sizes.doc_id, sizes.n AS n_shingles, min(reach.c) AS component_id
 FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id, sizes.n
 """
 
-QUERIES = {"op1_topk": op1_topk, "op2_media": op2_media, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_topk": op1_topk, "op2_media": op2_media, "op3_htmltext": op3_htmltext, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe, "op10_jaccard": op10_jaccard}
 SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op5_chat": OP5_SQL, "op10_jaccard": OP10_SQL}
