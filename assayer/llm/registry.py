@@ -11,6 +11,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by their main text, markup, address suffix and host; documents by text, ``lang`` and ``source``."""
+    from assayer.llm import htmltext, langid
+
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("host"), F.col("lang").alias("declared"), "text", none.alias("markup"))
+    rows = rows.union(pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), langid.host_of(F.col("url")), langid.declared_in(F.col("html")), none, F.col("html")))
+    told = langid.identify(rows, langid.train(docs), htmltext.main_text)
+    number = F.expr("try_cast(substring(id, 2) AS bigint)")
+    return told.select(F.when(F.col("id").startswith("d"), number).alias("doc_id"), F.when(F.col("id").startswith("p"), number).alias("page_id"), "lang", "confidence", "rejected")
+
+
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is at most 20,000 documents that are labelled as of good quality, by hash order; the background is every document."""
+    from assayer.llm.lmscore import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_000)
+    return score(docs, train(docs, docs.join(F.broadcast(good), "doc_id", "left_semi")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=toxicity.label_part() != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(toxicity.label_part() == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.bpe import encode_decode
 
@@ -118,5 +149,17 @@ SELECT sizes.doc_id, sizes.n AS n_shingles, min(reach.c) AS component_id
 FROM sizes JOIN reach ON reach.doc_id = sizes.doc_id GROUP BY sizes.doc_id, sizes.n
 """
 
-QUERIES = {"op1_topk": op1_topk, "op2_media": op2_media, "op3_htmltext": op3_htmltext, "op4_packing": op4_packing, "op5_chat": op5_chat, "op9_bpe": op9_bpe, "op10_jaccard": op10_jaccard}
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_media": op2_media,
+    "op3_htmltext": op3_htmltext,
+    "op4_packing": op4_packing,
+    "op5_chat": op5_chat,
+    "op6_langid": op6_langid,
+    "op7_lmscore": op7_lmscore,
+    "op8_toxicity": op8_toxicity,
+    "op9_bpe": op9_bpe,
+    "op10_jaccard": op10_jaccard,
+}
+#: The others can't be expressed in SQL; their tests hold them against brute force, a library or a round trip.
 SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op5_chat": OP5_SQL, "op10_jaccard": OP10_SQL}
