@@ -79,9 +79,9 @@ def pass_d(table: BoundTable, order_by: list[str] | None) -> tuple[DataFrame, li
     source = table.source
     if order_by:
         ranged = with_order(source.frame, order_by, [value for *_, value in checks])
-        plan = count_breaks(ranged.frame, [(kind, F.col(f"value_{k}")) for k, (_, _, kind, _) in enumerate(checks)], ranged.block, ranged.position)
+        plan = count_breaks(ranged.placed, [(kind, F.col(f"value_{k}")) for k, (_, _, kind, _) in enumerate(checks)], ranged.block, ranged.position)
     elif source.ordered:
-        plan = count_breaks(source.frame, [(kind, value) for _, _, kind, value in checks], source.block, source.position)
+        plan = count_breaks(source.placed, [(kind, value) for _, _, kind, value in checks], source.block, source.position)
     else:
         raise RuleTypeError(f"{table.spec.name}: rows of a DataFrame have no order; give order_by for is_increasing and is_decreasing")
     return plan, [(i, j) for i, j, _, _ in checks]

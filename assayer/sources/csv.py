@@ -41,5 +41,5 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, m
     )
     wanted = [n for n in names if columns is None or n in columns]
     place = [F.col("_metadata.file_path").alias("_assayer_file"), F.col("_metadata.file_block_start").alias("_assayer_block"), F.monotonically_increasing_id().alias(PLACE)]
-    frame = frame.select(*(F.col(f"`{n}`") for n in dict.fromkeys(wanted)), *place)
-    return Source(frame, True, [F.col("_assayer_file"), F.col("_assayer_block")], [F.col(PLACE)])
+    columns = [F.col(f"`{n}`") for n in dict.fromkeys(wanted)]
+    return Source(frame.select(*columns), True, frame.select(*columns, *place), [F.col("_assayer_file"), F.col("_assayer_block")], [F.col(PLACE)])

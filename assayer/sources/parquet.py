@@ -17,7 +17,7 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     except Exception as e:
         raise SourceError(f"can't read {path}: {str(e).splitlines()[0]}") from e
     wanted = [n for n in frame.columns if columns is None or n in columns]
-    index = F.col("_metadata.row_index")
-    place = [F.col("_metadata.file_path").alias("_assayer_file"), F.floor(index / BLOCK_ROWS).alias("_assayer_block"), index.alias("_assayer_place")]
-    frame = frame.select(*(F.col(f"`{n}`") for n in wanted), *place)
-    return Source(frame, False, [F.col("_assayer_file"), F.col("_assayer_block")], [F.col("_assayer_place")])
+    block = F.expr(f"_metadata.row_index div {BLOCK_ROWS}")
+    place = [F.col("_metadata.file_path").alias("_assayer_file"), block.alias("_assayer_block"), F.col("_metadata.row_index").alias("_assayer_place")]
+    columns = [F.col(f"`{n}`") for n in wanted]
+    return Source(frame.select(*columns), False, frame.select(*columns, *place), [F.col("_assayer_file"), F.col("_assayer_block")], [F.col("_assayer_place")])
