@@ -37,6 +37,8 @@ from assayer.llm.common import keep, map_slices, ship, slices
 
 SAMPLE = 8_000
 LEAST_ROWS = 5
+#: Rows of the sample that a trigram is in at least; those of one odd text are no language's.
+LEAST_TEXTS = 2
 #: Pseudo-count of a trigram, weight of a coarser prior, pseudo-count of declarations.
 ALPHA, WEIGHT, DECLARED = 0.5, 8.0, 1.0
 #: A text of n words counts as evidence like at most this many independent words.
@@ -99,15 +101,22 @@ class Reader(dict):
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams by language with the rows that hold them; the empty one counts rows."""
     counts: Counter = Counter()
+    texts: Counter = Counter()
     for batch in slices(batches):
         for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[language, ""] += 1
+            own: Counter = Counter({"": 1})
             for word, times in Counter(WORDS.findall((text or "").lower())).items():
                 for gram in trigrams(word):
-                    counts[language, gram] += times
+                    own[gram] += times
+            for gram, times in own.items():
+                counts[language, gram] += times
+                texts[language, gram] += 1
     if counts:
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([*counts.values()], pa.int64()), pa.array([texts[k] for k in counts], pa.int64())], ["lang", "gram", "n", "texts"]
+        )
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -117,13 +126,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     # The order is by hashes, so only they are sorted before the limit.
     chosen = rows.select(F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(sample).select("h").distinct()
     own = keep(rows.withColumn("h", F.xxhash64("text", "lang")).join(F.broadcast(chosen), "h", "left_semi").select("text", "lang"), "declared")
-    counted = own.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counted = own.mapInArrow(_count, "lang string, gram string, n long, texts long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toArrow().to_pydict()
     by: dict[str, Counter] = {}
+    texts: Counter = Counter()
+    for gram, n in zip(counted["gram"], counted["texts"], strict=True):
+        texts[gram] += n
     for language, gram, n in zip(counted["lang"], counted["gram"], counted["n"], strict=True):
         by.setdefault(language, Counter())[gram] = n
     languages = sorted(x for x, c in by.items() if c[""] >= LEAST_ROWS and len(c) > 1)
-    grams = sorted({g for x in languages for g in by[x] if g})
-    sums = [sum(n for g, n in by[x].items() if g) + ALPHA * (len(grams) + 1) for x in languages]
+    grams = sorted({g for x in languages for g in by[x] if g and texts[g] >= LEAST_TEXTS})
+    sums = [sum(by[x][g] for g in grams) + ALPHA * (len(grams) + 1) for x in languages]
     table = {g: tuple(math.log((by[x][g] + ALPHA) / s) for x, s in zip(languages, sums)) for g in grams}
     return Model(languages, table, tuple(math.log(ALPHA / s) for s in sums))
 
