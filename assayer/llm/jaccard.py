@@ -11,13 +11,18 @@ this relation without listing the pairs inside a group:
    shingle within their first n - ceil(n * NUM / DEN) + 1.  These prefixes are
    dealt out by hash in packed buckets; shingles seen in one document only
    drop out, the rest are the tiles.
-3. Each document of a tile is paired with the tile's smallest document.  Sizes,
+3. Each document of a tile is paired with the tile's leader, the document whose
+   prefix is most common around it, like the original among its copies.  Sizes,
    then bitmap bit counts, bound the overlap from above; what is left is decided by
    intersecting the sorted arrays.  This links nearly every group of copies
    in a number of pairs linear in its size.
-4. Tiles whose documents already lie in one component are done.  In the others,
-   cut into cells of bounded size, every pair across components that passes
-   the same bounds is intersected too.  So no link between components is lost.
+4. Tiles whose documents all lie in their leader's component are done.  In the
+   others, one of each kind with equal members, cut into cells of bounded size,
+   every pair across components that passes the same bounds is intersected too.
+   So no link between components is lost.
+
+Entries of a very frequent shingle are dealt to several buckets by document; each
+has its own leader, and the leaders are paired with one of them.
 
 The order only decides what is cheap, never what is found.
 
@@ -52,9 +57,11 @@ HOT_SHARE = 1 / 2000
 HOT_LEAST = 24
 #: Prefix entries meant for one bucket.
 BUCKET = 1_000_000
+#: Documents of one shingle above which its entries go to several buckets.
+SPLIT = 1_000_000
 #: Documents meant for one cell of a tile.
 CELL = 512
-#: Above so many ids, the texts to compare are found by a shuffled join.
+#: Above so many rows, a table of ids is joined by a shuffle instead of a broadcast.
 BROADCAST_IDS = 500_000
 SETS = "kind int, doc_id long, n long, digest binary, bitmap binary, shingle long, docs long"
 BIG, SMALL = 1 << 16, 64
@@ -163,11 +170,15 @@ def prefix(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hashes[:size]
 
 
-PACKED = "bucket int, docs binary, counts binary, keys binary"
+PACKED = "bucket int, docs binary, ranks binary, counts binary, keys binary"
+
 
+def _deal(hot: np.ndarray, splits: np.ndarray, buckets: int):
+    """Prefixes packed into a row for each bucket and block of documents; equal sets of a block only once.
 
-def _deal(hot: np.ndarray, buckets: int):
-    """Prefixes packed into a row for each bucket and block of documents; equal sets of a block only once."""
+    ``splits``: by hot shingle, into how many buckets its entries go.
+    """
+    extra = np.concatenate(([0], np.cumsum(np.where(splits > 1, splits, 0)))) if len(splits) else np.zeros(1, np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -177,18 +188,27 @@ def _deal(hot: np.ndarray, buckets: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            sizes = np.array([len(p) for p in parts])
+            owner = np.repeat(np.arange(len(parts)), sizes)
+            docs = np.array(ids, np.int64)
+            # How common a document's prefix is in this block: the mean logarithm of its shingles' counts.
+            _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+            ranks = (np.bincount(owner, np.log2(times)[at]) / sizes * 2000).clip(0, 65535).astype(np.uint16)
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            if extra[-1]:
+                place = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                wide = (hot[place] == keys) & (splits[place] > 1)
+                bucket[wide] = buckets + extra[place[wide]] + docs[owner[wide]] % splits[place[wide]]
             order = np.argsort(bucket, kind="stable")
-            keys, owner, bucket = (keys[order] >> np.uint64(32)).astype(np.uint32), owner[order], bucket[order]
-            docs = np.array(ids, np.int64)
+            keys, owner, bucket = keys[order], owner[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
                 who, counts = np.unique(owner[a:b], return_counts=True)
-                for column, x in zip(columns, (int(bucket[a]), docs[who].tobytes(), counts.astype(np.uint32).tobytes(), keys[a:b].tobytes()), strict=True):
+                row = (int(bucket[a]), docs[who].tobytes(), ranks[who].tobytes(), counts.astype(np.uint32).tobytes(), (keys[a:b] >> np.uint64(32)).astype(np.uint32).tobytes())
+                for column, x in zip(columns, row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "counts", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], [x.split()[0] for x in PACKED.split(", ")])
 
         for doc, hashes in _documents(batches):
             if doc is None or not len(hashes) or (digest := _digest(hashes)) in seen:
@@ -206,21 +226,32 @@ def _deal(hot: np.ndarray, buckets: int):
     return run
 
 
-TILES = "tile long, doc_id long"
+TILES = "tile long, doc_id long, leader long"
+
 
+def _tiles(buckets: int):
+    """Entries of the bucket's shingles that more than one document has, with their leaders.
 
-def _tiles(key: tuple, rows: pa.Table) -> pa.Table:
-    """Entries of the bucket's shingles that more than one document has."""
-    docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)) for d, c in zip(rows.column("docs").to_pylist(), rows.column("counts").to_pylist(), strict=True)])
-    keys = np.concatenate([np.frombuffer(k, np.uint32) for k in rows.column("keys").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    same = keys[1:] == keys[:-1]
-    shared = np.zeros(len(keys), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    tile = (keys[shared].astype(np.int64) << 31) | key[0].as_py()
-    return pa.table({"tile": tile, "doc_id": docs[shared]})
+    A bucket that holds a part of one shingle's entries keeps even a single one.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        packed = [[np.frombuffer(x, kind) for x in rows.column(name).to_pylist()] for name, kind in (("docs", np.int64), ("ranks", np.uint16), ("counts", np.uint32), ("keys", np.uint32))]
+        docs, ranks = (np.concatenate([np.repeat(x, c) for x, c in zip(values, packed[2], strict=True)]) for values in packed[:2])
+        keys = np.concatenate(packed[3])
+        order = np.lexsort((docs, np.iinfo(np.uint16).max - ranks, keys))
+        keys, docs = keys[order], docs[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        group = np.cumsum(first) - 1
+        shared = np.bincount(group)[group] > 1 if bucket < buckets else np.ones(len(keys), bool)
+        leader = docs[first][group]
+        # Parts of one shingle lie in neighbouring buckets, but their tile is the same.
+        tile = (keys.astype(np.int64) << 31) | (bucket if bucket < buckets else buckets)
+        return pa.table({"tile": tile[shared], "doc_id": docs[shared], "leader": leader[shared]})
+
+    return run
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
@@ -237,12 +268,16 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return map_slices(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b", "digest_a", "digest_b"), make, "a long, b long, digest_a binary, digest_b binary")
 
 
+def _checked(small: DataFrame) -> DataFrame:
+    """Broadcast if it is small enough; else joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among pairs a, b, by exact intersection; one check for each pair of sets."""
     pairs = keep(pairs.groupBy("digest_a", "digest_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
     ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    own = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    own = texts.join(_checked(ids), "doc_id", "left_semi")
     both = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def make():
@@ -340,15 +375,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return plain.withColumn("component_id", F.col("doc_id"))
 
     bound = max(HOT_LEAST, HOT_SHARE * total)
-    hot_rows = described.where("kind = 1").groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= bound).select("shingle").toPandas()
-    hot = np.sort(hot_rows["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+    frequent = described.where("kind = 1").groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= bound).toArrow()
+    hot = np.asarray(frequent.column("shingle"), np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, splits = hot[order], -(-np.asarray(frequent.column("docs"), np.int64)[order] // SPLIT)
     buckets = max(16, 1 << math.ceil(math.log2(max(1, entries * (DEN - NUM) / DEN / BUCKET))))
-    share = spark.sparkContext.broadcast(hot)
+    share = spark.sparkContext.broadcast((hot, splits))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _deal(share.value, buckets)(batches)
+        return _deal(*share.value, buckets)(batches)
 
-    tiles = keep(docs.mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(_tiles, TILES), "tiles")
+    tiles = keep(docs.mapInArrow(deal, PACKED).groupBy("bucket").applyInArrow(_tiles(buckets), TILES), "tiles")
 
     # Documents with equal sets are linked with the first of them.
     solid = sets.where("doc_id is not null and n > 0")
@@ -360,16 +397,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pairs = pairs.join(solid.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("digest").alias(f"digest_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
         return pairs.where("digest_a <> digest_b")
 
-    smallest = tiles.groupBy("tile").agg(F.min("doc_id").alias("a"))
-    stars = tiles.join(smallest, "tile").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = tiles.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    if (splits > 1).any():
+        heads = tiles.where(F.col("tile") % (1 << 31) == buckets).select("tile", "leader").distinct()
+        tops = heads.groupBy("tile").agg(F.min("leader").alias("top"))
+        heads = heads.join(tops, "tile")
+        stars = stars.union(heads.where("leader <> top").select("top", "leader"))
+        tiles = tiles.join(heads, ["tile", "leader"], "left").select("tile", "doc_id", F.coalesce("top", "leader").alias("leader"))
+    stars = keep(stars.distinct(), "stars")
     links = keep(classes.union(_verify(_bounded(with_sets(stars)), docs)), "verified")
     first = components(links)
 
     # Tiles that still join different components.
-    placed = tiles.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("tile", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = keep(placed, "placed")
-    mixed = placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low <> high").select("tile", F.ceil(F.col("docs") / CELL).alias("parts"))
-    members = placed.join(mixed, "tile").join(solid.dropDuplicates(["doc_id", "digest"]), "doc_id").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    where = {c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("doc_id", "leader")}
+    pairs = stars.toDF("leader", "doc_id") if not (splits > 1).any() else tiles.where("leader <> doc_id").select("leader", "doc_id").distinct()
+    apart = pairs.join(where["doc_id"], "doc_id", "left").join(where["leader"], "leader", "left")
+    apart = keep(apart.where(F.coalesce("doc_id_in", "doc_id") != F.coalesce("leader_in", "leader")).select("doc_id", "leader"), "apart")
+    mixed = keep(tiles.join(_checked(apart), ["doc_id", "leader"], "left_semi").select("tile").distinct(), "mixed")
+    members = tiles.join(_checked(mixed), "tile", "left_semi").select("tile", "doc_id")
+    kinds = members.groupBy("tile").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("doc_id")).alias("xor"))
+    kinds = keep(kinds.groupBy("docs", "sum", "xor").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("docs") / CELL).alias("parts")), "kinds")
+    members = members.join(_checked(kinds), "tile").join(solid.dropDuplicates(["doc_id", "digest"]), "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = members.withColumn("component", F.coalesce("component", "doc_id")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = cells.select("tile", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "doc_id", "component", "n", "bitmap", "side")
     sorted_cells = cells.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")

@@ -77,8 +77,9 @@ def test_bounds_never_exclude_a_link():
             assert len(got) == 1
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, split", [(1, 1_000_000), (2, 7), (3, 1_000_000)])
+def test_components_match_brute_force(spark, monkeypatch, seed, split):
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     monkeypatch.setattr(jaccard, "HOT_LEAST", 6)
     monkeypatch.setattr(jaccard, "CELL", 8)
     rows = corpus(seed)
