@@ -20,8 +20,10 @@ how the rows are dealt to tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,7 +37,7 @@ CAPACITY = 4096
 RECIPROCALS = 16
 END_ID = 2
 #: Chunks remembered by one worker.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,6 +52,17 @@ def classes(capacity: int) -> list[tuple[int, int]]:
     return [(length, capacity // length) for length in sorted(lengths, reverse=True)]
 
 
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte inside the model: printable ones for themselves."""
+    spare = iter(range(256, 512))
+    return [chr(b) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else chr(next(spare)) for b in range(256)]
+
+
+_CHARS = _byte_chars()
+#: Runs of letters, and of ASCII signs but for the quote and the opening bracket, which may begin a suffix or a special token.
+_PIECES = re.compile(r"[^\W\d_]+|[!-&(-/:;=-@\[-`{-~]+")
+
+
 class Packer:
     """Takes (document, tokens) and gives pieces (document, start, length, sequence, offset)."""
 
@@ -105,11 +118,16 @@ class Chunks(dict):
         self.word = self.tokenizer.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
+        if chunk.isalpha():
             low = chunk.lower()
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.word(low)) if low == chunk else self[low]
-        elif chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]] if len(chunk) > 1 else self._whole(chunk)
+            if "Σ" in chunk or not low.isalpha() or not is_normalized("NFC", chunk):
+                ids = self._whole(chunk)
+            elif low != chunk:
+                ids = self[low]
+            else:  # letters alone are one word of the vocabulary's model
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.word(low if low.isascii() else "".join([_CHARS[b] for b in low.encode()]))])
+        elif len(pieces := _PIECES.findall(chunk)) > 1 and "".join(pieces) == chunk and is_normalized("NFC", chunk) and all(p.lower().isalpha() or p.isascii() and not p.isalnum() for p in pieces):
+            ids = b"".join([self[p] for p in pieces])  # letters and plain signs never share a word
         else:
             ids = self._whole(chunk)
         if len(chunk) <= 64:
