@@ -43,6 +43,8 @@ SAMPLE = 20_000
 SHORTEST, LONGEST, CAP = 3, 16, 3
 #: Weight of a unit's prior; documents that a unit is in at least; likelihood ratio and log-odds that it takes to score.
 PRIOR, LEAST_DOCS, SIGNIFICANT, LEAST_SCORE = 10.0, 4, 15.0, 1.0
+#: Log-odds are held below this: prefixes of one word are the same evidence again.
+MOST_SCORE = 8.0
 DRIFT = 0.05
 #: Expected count among clean texts below which a segment is a toxic passage.
 E_VALUE = 0.05
@@ -167,17 +169,17 @@ def _log_odds(counts: dict[str, tuple[int, int, int, int]]) -> dict[str, float]:
     """Scores of the units, 0 for those that say nothing but are known."""
     all_n1, all_n0, docs1, docs0 = counts[""]
     base, base_docs = (all_n1 + 1) / (all_n1 + all_n0 + 2), docs1 / (docs1 + docs0)
-    share: dict[str, float] = {}
+    share: dict[str, tuple[float, float]] = {}
     out: dict[str, float] = {}
     for unit in sorted(counts, key=len):
         if not unit:
             continue
         n1, n0, d1, d0 = counts[unit]
-        prior = share.get(unit[:-1], base)
-        share[unit] = mine = (n1 + PRIOR * prior) / (n1 + n0 + PRIOR)
+        prior = share.get(unit[:-1], (base, 1 - base))
+        share[unit] = toxic, clean = (n1 + PRIOR * prior[0]) / (n1 + n0 + PRIOR), (n0 + PRIOR * prior[1]) / (n1 + n0 + PRIOR)
         rate = d1 / (d1 + d0)
         ratio = 2 * (d1 * math.log(rate / base_docs) + (d0 * math.log((1 - rate) / (1 - base_docs)) if d0 else 0.0)) if rate > base_docs else 0.0
-        score = math.log(mine / (1 - mine)) - math.log(base / (1 - base))
+        score = min(MOST_SCORE, math.log(toxic / clean) - math.log(base / (1 - base)))
         out[unit] = score if ratio >= SIGNIFICANT and score >= LEAST_SCORE else 0.0
     return out
 

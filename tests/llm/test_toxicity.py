@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from assayer.llm.toxicity import DRIFT, Model, label_part, score, segments, train
+from assayer.llm.toxicity import DRIFT, MOST_SCORE, Model, _log_odds, label_part, score, segments, train
 
 
 def brute(values):
@@ -63,3 +63,8 @@ def test_without_labels(spark):
     assert model == Model({}) and DRIFT > 0
     assert score(d, model).select("predicted").first()[0] == 0
     assert d.select(F.pmod(label_part(), F.lit(5))).first()[0] == 3
+
+
+def test_overwhelming_evidence_stays_finite():
+    counts = {"": (10**7, 10**8, 10**4, 10**5)} | {"abcdefghijklmnop"[:k]: (10**6, 0, 9000, 0) for k in range(3, 17)}
+    assert set(_log_odds(counts).values()) == {MOST_SCORE}
