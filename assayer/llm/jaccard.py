@@ -16,10 +16,15 @@ this relation without listing the pairs inside a group:
    then bitmap bit counts, bound the overlap from above; what is left is decided by
    intersecting the sorted arrays.  This links nearly every group of copies
    in a number of pairs linear in its size.
-4. Tiles whose documents all lie in their leader's component are done.  In the
-   others, one of each kind with equal members, cut into cells of bounded size,
-   every pair across components that passes the same bounds is intersected too.
-   So no link between components is lost.
+4. Tiles whose documents all lie in their leader's component are done.  Documents
+   with a common shingle share a leader, so what is left lies inside families:
+   components of all pairs of step 3, linked or not.  A dense family, whose
+   tiles would compare more pairs than it has, is compared as a whole, cut into
+   cells of bounded size that hold each text once; a cell intersects what sizes and
+   bitmaps let through and joins components as it finds them, so it gives no more
+   links than it has documents.  In a sparse family the tiles are the cells, one of
+   each kind with equal members, and what passes the bounds is intersected as in
+   step 3.  So no link between components is lost.
 
 Entries of a very frequent shingle are dealt to several buckets by document; each
 has its own leader, and the leaders are paired with one of them.
@@ -362,6 +367,86 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
+def solve(docs: list[int], comps: list[int], side: list[int], sets: list[np.ndarray], crossing: bool) -> list[tuple[int, int]]:
+    """Links of a cell that join its components; at most one fewer than there are components.
+
+    ``crossing``: only between the two sides, which are different parts of one family.
+    """
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    root = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    width = min(BIG, 8 * bitmap_width(int(sizes[-1])))
+    odd = np.empty((len(docs), width // 64), np.uint64)
+    for row, i in enumerate(order):
+        bits = np.bincount((sets[i] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        odd[row] = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+    top = np.searchsorted(sizes * NUM, sizes * DEN, side="right")
+    sides = np.array(side)[order]
+    out = []
+    for i in range(len(docs)):
+        a, b = i + 1, int(top[i])
+        if a >= b:
+            continue
+        apart = np.bitwise_count(odd[a:b] ^ odd[i]).sum(axis=1, dtype=np.int64)
+        total = sizes[a:b] + sizes[i]
+        good = (NUM + DEN) * (total - apart) >= 2 * NUM * total
+        if crossing:
+            good &= sides[a:b] != sides[i]
+        for j in np.flatnonzero(good) + a:
+            x, y = int(order[i]), int(order[j])
+            c, d = find(comps[x]), find(comps[y])
+            if c != d and linked(sets[x], sets[y]):
+                root[c] = d
+                out.append((docs[x], docs[y]))
+    return out
+
+
+def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell; a cell is of bounded size."""
+    cell, rows = None, []
+
+    def found() -> list[tuple[int, int]]:
+        hashes, bounds = shingle_sets([(r[3] or "").encode() for r in rows], WORDS)
+        sets = [hashes[bounds[i] : bounds[i + 1]] for i in range(len(rows))]
+        return solve([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, cell[1] != cell[2])
+
+    def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    for batch in slices(batches):
+        for *key, doc, comp, side, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tuple(key) != cell:
+                if len({r[1] for r in rows}) > 1 and (links := found()):
+                    yield batch_of(links)
+                cell, rows = tuple(key), []
+            rows.append((doc, comp, side, text))
+    if len({r[1] for r in rows}) > 1 and (links := found()):
+        yield batch_of(links)
+
+
+def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Adds each document's component and, of ``parts``, its side."""
+    rows = rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return rows.withColumn("component", F.coalesce("component", "doc_id")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+
+
+def _cut(rows: DataFrame, group: str) -> DataFrame:
+    """A row for each cell (group, low, high) of the document's side with every side."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("parts", "other")
+
+
+def _named(plain: DataFrame, comps: DataFrame) -> DataFrame:
+    return plain.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = df.sparkSession
@@ -408,21 +493,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = keep(classes.union(_verify(_bounded(with_sets(stars)), docs)), "verified")
     first = components(links)
 
-    # Tiles that still join different components.
+    # What still joins different components.
     where = {c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("doc_id", "leader")}
-    pairs = stars.toDF("leader", "doc_id") if not (splits > 1).any() else tiles.where("leader <> doc_id").select("leader", "doc_id").distinct()
+    pairs = tiles.where("leader <> doc_id").select("leader", "doc_id").distinct() if (splits > 1).any() else stars.toDF("leader", "doc_id")
     apart = pairs.join(where["doc_id"], "doc_id", "left").join(where["leader"], "leader", "left")
     apart = keep(apart.where(F.coalesce("doc_id_in", "doc_id") != F.coalesce("leader_in", "leader")).select("doc_id", "leader"), "apart")
+    if not apart.limit(1).count():
+        return _named(plain, first)
+    families = components(stars).withColumnRenamed("component", "family")
     mixed = keep(tiles.join(_checked(apart), ["doc_id", "leader"], "left_semi").select("tile").distinct(), "mixed")
-    members = tiles.join(_checked(mixed), "tile", "left_semi").select("tile", "doc_id")
+    members = tiles.join(_checked(mixed), "tile", "left_semi")
+    sizes = members.groupBy("tile").agg(F.count(F.lit(1)).alias("docs"), F.min("leader").alias("node")).join(families, "node")
+    cost = sizes.groupBy("family").agg(F.sum(F.col("docs").cast("double") * F.col("docs")).alias("in_tiles"), F.min("tile").alias("some"))
+    whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).join(cost, "family")
+    whole = keep(whole.select("family", (F.col("members").cast("double") * F.col("members") <= F.col("in_tiles")).alias("dense"), F.ceil(F.col("members") / CELL).alias("parts")), "families")
+
+    # Dense families: one document for each set, its text in every cell of its side.
+    dense = families.withColumnRenamed("node", "doc_id").join(_checked(whole.where("dense").select("family", "parts")), "family")
+    dense = dense.join(solid.select("doc_id", "digest"), "doc_id").groupBy("family", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
+    dense = keep(_placed(dense.drop("digest"), first), "dense")
+    own = docs.join(_checked(dense.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = _cut(dense, "family").join(own, "doc_id").select("family", "low", "high", "doc_id", "component", "side", "text")
+    found = rows.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(_solve, "a long, b long")
+
+    # Sparse families: their tiles, those with equal members once.
+    loose = sizes.join(_checked(whole.where("not dense").select("family")), "family", "left_semi").select("tile")
+    members = members.join(_checked(keep(loose, "loose")), "tile", "left_semi").select("tile", "doc_id")
     kinds = members.groupBy("tile").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("doc_id")).alias("xor"))
     kinds = keep(kinds.groupBy("docs", "sum", "xor").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("docs") / CELL).alias("parts")), "kinds")
-    members = members.join(_checked(kinds), "tile").join(solid.dropDuplicates(["doc_id", "digest"]), "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = members.withColumn("component", F.coalesce("component", "doc_id")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = cells.select("tile", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "doc_id", "component", "n", "bitmap", "side")
-    sorted_cells = cells.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
-    rest = sorted_cells.mapInArrow(_cells, "a long, b long").distinct()
-    more = keep(_verify(with_sets(rest).select("a", "b", "digest_a", "digest_b"), docs), "verified")
-    final = components(links.union(more)) if more.limit(1).count() else first
-    return plain.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    cells = _cut(_placed(members.join(_checked(kinds), "tile"), first), "tile").join(solid.dropDuplicates(["doc_id", "digest"]), "doc_id")
+    cells = cells.select("tile", "low", "high", "doc_id", "component", "n", "bitmap", "side").repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
+    rest = cells.mapInArrow(_cells, "a long, b long").distinct()
+    more = keep(found.union(_verify(with_sets(rest).select("a", "b", "digest_a", "digest_b"), docs)), "verified")
+    return _named(plain, components(links.union(more)) if more.limit(1).count() else first)

@@ -88,6 +88,27 @@ def test_components_match_brute_force(spark, monkeypatch, seed, split):
     assert got == brute(rows)
 
 
+def test_a_cell_joins_what_brute_force_joins():
+    r = random.Random(9)
+    for _ in range(20):
+        base = [r.getrandbits(64) for _ in range(60)]
+        sets = [np.array(sorted({*r.sample(base, r.randint(40, 60)), *(r.getrandbits(64) for _ in range(r.randint(0, 12)))}), np.uint64) for _ in range(30)]
+        side = [i % 2 for i in range(30)]
+        for crossing in (False, True):
+            got = jaccard.solve([*range(30)], [*range(30)], side, sets, crossing)
+            assert all(jaccard.linked(sets[a], sets[b]) and (not crossing or side[a] != side[b]) for a, b in got)
+
+            def groups(links):
+                root = [*range(30)]
+                for a, b in links:
+                    x, y = root[a], root[b]
+                    root = [y if z == x else z for z in root]
+                return len(set(root))
+
+            every = [(a, b) for a in range(30) for b in range(a) if jaccard.linked(sets[a], sets[b]) and (not crossing or side[a] != side[b])]
+            assert groups(got) == groups(every)
+
+
 def test_odd_rows(spark):
     same = "one two three four five six"
     rows = [(1, None), (2, ""), (3, same), (4, same.upper()), (None, same), (5, "one two"), (5, "one two"), (6, "one two"), (7, " ")]
