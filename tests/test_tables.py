@@ -120,3 +120,15 @@ def test_formats():
     assert date_pattern("%d.%m.%Y at %H:%M") == "d.M.yyyy' at 'H:m"
     with pytest.raises(PatternError):
         date_pattern("%Q")
+
+
+def test_small_helpers():
+    from assayer.sources.sizing import MB, SplitSize
+    from assayer.spec import TableSpec
+
+    table = TableSpec("t", (integer_column("a").std_dev_check(1).build(), date_column("b", "%Y").build()))
+    assert table.columns_with_statistics() == ["a"] and [t.simpleString() for t in table.column_types().values()] == ["bigint", "date"]
+    assert date_column("b", "%Y").get_format() == "%Y"
+    assert [SplitSize().bytes_for(n * MB, 8) for n in (1, 400, 10_000)] == [MB, 10 * MB, 100 * MB]
+    with pytest.raises(ValueError):
+        SplitSize(least=2, most=1)
