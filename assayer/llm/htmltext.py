@@ -46,6 +46,8 @@ NAMES = frozenset(
     replies reply respond responses search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe subscription
     toolbar topbar trending widget widgets""".split()
 )
+#: A header of one of these belongs to the article.
+OWN = frozenset("article content entry main page post story".split())
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 RAW = "script|style|xmp|noscript|iframe|noembed|noframes|textarea|title|svg|template"
 #: A block that opens closes an open one of the same set, up to one of the bounds.
@@ -81,7 +83,7 @@ def _meaning(tag: str, rest: str, in_article: bool) -> tuple[str, ...]:
                 out.append(AWAY)
             elif name in ("class", "id") and tag not in KEPT:
                 names = {x.lower() for x in _NAME.findall(value)}
-                if names & NAMES and not (in_article and names & NAMES <= {"header"}):
+                if names & NAMES and not (names & NAMES == {"header"} and (in_article or names & OWN)):
                     out.append(NAMED)
     return tuple(out)
 

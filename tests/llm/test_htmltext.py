@@ -29,6 +29,13 @@ def test_link_lists_are_no_text_and_names_may_be_wrong():
     assert main_text('<div class="page-with-sidebar"><p>All of the text is in here.</p></div>') == "All of the text is in here."
 
 
+def test_headers_of_site_and_article():
+    body = f"<p>{'word ' * 30}</p>"
+    site = '<div id="header">My site, all about words and other things</div>'
+    assert main_text(f"<body>{site}<div class=post-header><h1>Title</h1></div>{body}</body>") == "Title\n" + ("word " * 30).strip()
+    assert main_text(f'<body>{site}<main><div class="header"><h1>Title</h1></div>{body}</main></body>') == "Title\n" + ("word " * 30).strip()
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "a < b", "<!-- x", "<script>x", "</p></div>", "<p>" * 5000, "&#xD800;&#0;&bogus;", "<a href='>x", '<p class="a>b">t</p>'])
 def test_broken_markup(page):
     assert isinstance(main_text(page), str)
