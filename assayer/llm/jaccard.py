@@ -56,18 +56,20 @@ from assayer.llm.shingles import shingle_sets
 WORDS = 5
 NUM, DEN = 75, 100
 #: Hashes that a task holds while it counts or packs them.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: A shingle in at least this share of the documents comes last in the order; at most 1/HOT_SHARE times the mean set size can be.
 HOT_SHARE = 1 / 2000
 HOT_LEAST = 24
 #: Prefix entries meant for one bucket.
-BUCKET = 1_000_000
+BUCKET = 400_000
 #: Documents of one shingle above which its entries go to several buckets.
 SPLIT = 1_000_000
+#: Pairs that a task remembers having told already.
+REMEMBERED = 100_000
 #: Documents meant for one cell of a tile.
 CELL = 512
 #: Above so many rows, a table of ids is joined by a shuffle instead of a broadcast.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 SETS = "kind int, doc_id long, n long, digest binary, bitmap binary, shingle long, docs long"
 BIG, SMALL = 1 << 16, 64
 
@@ -346,7 +348,7 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found() -> list[tuple[int, int]]:
         docs, comps, sizes, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4))
         got = [tuple(sorted(p)) for p in cell_pairs(docs, comps, sizes, [r[3] for r in rows], side, cell[1] != cell[2])]
-        if len(told) > 500_000:
+        if len(told) > REMEMBERED:
             told.clear()
         got = [p for p in dict.fromkeys(got) if p not in told]
         told.update(got)
