@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and payload bytes of one slice that a Python function sees at a time.
 SLICE_ROWS = 512
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

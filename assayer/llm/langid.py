@@ -44,7 +44,7 @@ ALPHA, WEIGHT, DECLARED = 0.5, 8.0, 1.0
 #: A text of n words counts as evidence like at most this many independent words.
 WORDS_COUNTED = 40.0
 STRANGE, LEAST = 0.5, 0.6
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 WORDS = re.compile(r"[^\W\d_]+")
 EVIDENCE = "id string, host string, declared string, lang string, loglik array<double>, words long, strange double"
 

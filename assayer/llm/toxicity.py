@@ -48,7 +48,7 @@ MOST_SCORE = 8.0
 DRIFT = 0.05
 #: Expected count among clean texts below which a segment is a toxic passage.
 E_VALUE = 0.05
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 WORDS = re.compile(r"[^\W\d_]+")
 PASSAGES = "array<struct<start: int, end: int, score: double, e_value: double>>"
 
@@ -166,7 +166,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_odds(counts: dict[str, tuple[int, int, int, int]]) -> dict[str, float]:
-    """Scores of the units, 0 for those that say nothing but are known."""
+    """Scores of the units; 0 for known ones that say nothing though a prefix of theirs does."""
     all_n1, all_n0, docs1, docs0 = counts[""]
     base, base_docs = (all_n1 + 1) / (all_n1 + all_n0 + 2), docs1 / (docs1 + docs0)
     share: dict[str, tuple[float, float]] = {}
@@ -181,7 +181,9 @@ def _log_odds(counts: dict[str, tuple[int, int, int, int]]) -> dict[str, float]:
         ratio = 2 * (d1 * math.log(rate / base_docs) + (d0 * math.log((1 - rate) / (1 - base_docs)) if d0 else 0.0)) if rate > base_docs else 0.0
         score = min(MOST_SCORE, math.log(toxic / clean) - math.log(base / (1 - base)))
         out[unit] = score if ratio >= SIGNIFICANT and score >= LEAST_SCORE else 0.0
-    return out
+    # A unit without a score matters only below a prefix that has one.
+    scoring = {u for u, v in out.items() if v}
+    return {u: v for u, v in out.items() if v or any(u[:k] in scoring for k in range(SHORTEST, len(u)))}
 
 
 def _decay(scores: Counter, drift: float = DRIFT) -> float:
