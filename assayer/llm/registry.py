@@ -26,11 +26,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is at most 20,000 documents that are labelled as of good quality, by hash order; the background is every document."""
-    from assayer.llm.lmscore import score, train
+    from assayer.llm.lmscore import score_corpus
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_000)
-    return score(docs, train(docs, docs.join(F.broadcast(good), "doc_id", "left_semi")))
+    return score_corpus(docs.join(F.broadcast(good.withColumn("chosen", F.lit(True))), "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

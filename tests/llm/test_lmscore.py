@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from assayer.llm.lmscore import WEIGHT, WORDS, losses, score, train
+from assayer.llm.lmscore import WEIGHT, WORDS, losses, score, score_corpus, train
 
 
 def brute(corpus, target, size):
@@ -50,3 +50,36 @@ def test_matches_brute_force(spark):
 def test_rows_are_distributions():
     p = np.exp(-losses(np.array([[3.0, 1, 0], [0, 0, 0], [1, 2, 0]])))[:, :-1].sum(1)
     assert np.allclose(p, 1, atol=1e-6)
+
+
+def test_every_word_counts(spark):
+    """Words beyond the broadcast tables have counts and bigrams of their own."""
+    corpus = ["the cat sat on the mat", "the dog sat on a log", None, "", "a cat and a dog and a cat " * 900, "rare words only", "the cat sat on the mat", "only", "rare words rare words the rare"]
+    rows = [(None if i == 7 else i, t, i in (1, 4, 8)) for i, t in enumerate(corpus)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chosen boolean").repartition(3)
+    expected = brute(corpus, [t for _, t, chosen in rows if chosen], 10_000)
+    for dense in (0, 3, 2046):
+        for scored in [score_corpus(df, dense)] + [score(df, train(df, df.where("chosen"), dense=dense))] * (dense == 3):
+            got = {r.doc_id: r for r in scored.collect()}
+            assert len(got) == len(corpus)
+            for (i, _, _), (n, a, b) in zip(rows, expected):
+                assert got[i].n_tokens == n
+                if n:
+                    assert abs(got[i].target_loss - a) < 1e-5 and abs(got[i].background_loss - b) < 1e-5 and abs(got[i].loss_difference - (a - b)) < 2e-5
+                else:
+                    assert got[i].target_loss is None and got[i].loss_difference is None
+    other = spark.createDataFrame([(1, "the unheard cat")], "doc_id long, text string")
+    both = brute(corpus + ["the unheard cat"], [t for _, t, chosen in rows if chosen], 10_000)
+    assert score(other, train(df, df.where("chosen"), dense=2)).first().n_tokens == both[-1][0]
+    assert score_corpus(df.limit(0)).count() == 0 and score(df.limit(0), train(df, df)).count() == 0
+
+
+def test_no_word_is_dropped_in_a_large_vocabulary(spark):
+    """More than 2,046 words: two texts that differ in rare words only are told apart."""
+    texts = [" ".join(f"w{i}" for i in range(k, k + 50)) for k in range(0, 5000, 50)] * 3
+    texts += ["seldom heard", "seldom heard", "hardly known", "hardly known"]
+    rows = [(i, t, t == "seldom heard") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in score_corpus(spark.createDataFrame(rows, "doc_id long, text string, chosen boolean")).collect()}
+    assert got[len(texts) - 4].loss_difference < got[len(texts) - 1].loss_difference - 1
+    for i, (n, a, b) in enumerate(brute(texts, ["seldom heard"] * 2, 10_000)):
+        assert got[i].n_tokens == n and abs(got[i].target_loss - a) < 1e-5 and abs(got[i].background_loss - b) < 1e-5
