@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Up to so many labelled ids are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,12 +28,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is at most 20,000 documents that are labelled as of good quality, by hash order; the background is every document."""
+    """The target is every document that is labelled as of good quality; the background is every document."""
+    from assayer.llm.common import keep
     from assayer.llm.lmscore import score_corpus
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_000)
-    return score_corpus(docs.join(F.broadcast(good.withColumn("chosen", F.lit(True))), "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen")))
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("chosen", F.lit(True))
+    few = good.count() <= BROADCAST_IDS
+    marked = docs.join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    return score_corpus(marked if few else keep(marked, "marked"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from assayer.llm import registry
 from assayer.llm.lmscore import WEIGHT, WORDS, losses, score, score_corpus, train
 
 
@@ -83,3 +84,15 @@ def test_no_word_is_dropped_in_a_large_vocabulary(spark):
     assert got[len(texts) - 4].loss_difference < got[len(texts) - 1].loss_difference - 1
     for i, (n, a, b) in enumerate(brute(texts, ["seldom heard"] * 2, 10_000)):
         assert got[i].n_tokens == n and abs(got[i].target_loss - a) < 1e-5 and abs(got[i].background_loss - b) < 1e-5
+
+
+def test_every_good_document_is_in_the_target(spark, tmp_path, monkeypatch):
+    """More than 20,000 good documents: a target that is the whole corpus has the corpus's losses."""
+    n = 20_400
+    spark.range(n).selectExpr("id AS doc_id", "concat('word', id % 7, ' seen', id % 3000) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    labels.union(labels.limit(50)).write.parquet(str(tmp_path / "labels.parquet"))
+    for most in (registry.BROADCAST_IDS, 100):
+        monkeypatch.setattr(registry, "BROADCAST_IDS", most)
+        got = registry.op7_lmscore(spark, str(tmp_path))
+        assert got.count() == n and got.where("abs(loss_difference) > 1e-6").count() == 0
