@@ -3,8 +3,10 @@
 Markup is stripped into one line for each block element.  A line weighs its
 characters outside links; a line inside a menu, header, footer, sidebar,
 notice, advert, form or comment section, by element, role, class or id, weighs
-nothing, and where a page has a main or article element, neither does what lies
-outside it.  Weights are summed over a sliding window of ``LINES`` lines.
+nothing.  Where main and article elements together hold at least as much text as
+the lines outside them and outside links, all of them are the article and what lies
+outside weighs nothing; where they hold less, as teaser cards do, they weigh like any
+line.  Weights are summed over a sliding window of ``LINES`` lines.
 Where the sum surges above ``SURGE`` a stretch begins, at the first line with
 weight in that window; it ends where the sum dives to nothing.  The lines of all
 stretches that aren't weightless are the text.
@@ -202,17 +204,13 @@ def main_text(source: str) -> str:
     lines = _Page(source).lines
     for ignored in (frozenset((AWAY, NAMED)), frozenset((AWAY,))):
         open_ = [not (marks & ignored) for _, _, marks, _ in lines]
-        sizes: dict[int, int] = {}
-        for ok, (text, _, _, article) in zip(open_, lines):
-            if ok and article:
-                sizes[article] = sizes.get(article, 0) + len(text)
-        if sizes:
-            largest = max(sizes.values())
-            chosen = {a for a, n in sizes.items() if 2 * n >= largest}
-            weights = [len(text) if ok and article in chosen else 0 for ok, (text, _, _, article) in zip(open_, lines)]
+        plain = [len(text) if ok and linked <= LINKED * len(text) else 0 for ok, (text, linked, _, _) in zip(open_, lines)]
+        inside = sum(len(text) for ok, (text, _, _, article) in zip(open_, lines) if ok and article)
+        if inside and inside >= sum(n for n, (_, _, _, article) in zip(plain, lines) if not article):
+            weights = [len(text) if ok and article else 0 for ok, (text, _, _, article) in zip(open_, lines)]
             surge = 1
         else:
-            weights = [len(text) if ok and linked <= LINKED * len(text) else 0 for ok, (text, linked, _, _) in zip(open_, lines)]
+            weights = plain
             surge = min(SURGE, max([1, *weights]))
         if any(weights):
             return "\n".join(lines[i][0] for start, end in stretches(weights, surge) for i in range(start, end) if weights[i])

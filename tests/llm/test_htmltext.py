@@ -58,3 +58,15 @@ def test_frame(spark):
     n = len(main_text(PAGE))
     assert out == [(1, "u", 0), (3, "w", n), (3, "w", n), (4, "x", 999999)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_every_article_is_kept():
+    long, short = "A long sentence of the story's first part. " * 25, "The second part is short but belongs to it. " * 9
+    text = main_text(f"<body><nav>Home</nav><article><p>{long}</p></article><article><p>{short}</p></article><footer>Imprint</footer></body>")
+    assert text.split("\n") == [long.strip(), short.strip()]
+
+
+def test_teaser_cards_are_not_the_article():
+    body = "A sentence of the body, which no element marks. " * 20
+    text = main_text(f"<body><div><p>{body}</p></div><div><article><h3>Read this too</h3></article><article><h3>And this one</h3></article></div></body>")
+    assert body.strip() in text.split("\n")
