@@ -7,6 +7,9 @@ nothing.  Where main and article elements together hold at least as much text as
 the lines outside them and outside links, all of them are the article and what lies
 outside weighs nothing; where they hold less, as teaser cards do, they weigh like any
 line.  Weights are summed over a sliding window of ``LINES`` lines.
+Inside an article, a block whose only such names are also headings of prose (``PROSE``) is
+dropped only if its lines are short or hold many links.  A form that holds most of the
+page's text is the page.
 Where the sum surges above ``SURGE`` a stretch begins, at the first line with
 weight in that window; it ends where the sum dives to nothing.  The lines of all
 stretches that aren't weightless are the text.
@@ -39,7 +42,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 UNSEEN = frozenset("audio button canvas datalist head iframe input math-template meter noembed noframes noscript object picture-template progress select svg template textarea title video".split())
-AROUND = frozenset("aside dialog footer form menu nav search fieldset".split())
+AROUND = frozenset("aside dialog footer menu nav search fieldset".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset(
     """ad ads adbox adsense adslot advert advertisement adverts advertising adwrap banner banners breadcrumb breadcrumbs colophon comment commentary commentlist
@@ -48,6 +51,9 @@ NAMES = frozenset(
     replies reply respond responses search share sharing sidebar sidebars signin signup skip social sponsor sponsored sponsors subscribe subscription
     toolbar topbar trending widget widgets""".split()
 )
+#: Those of the names that also name sections of an article: such a block's lines have so many characters on average, and at most this share in links.
+PROSE = frozenset("commentary discussion navigation promotion promotions recommendations related response responses search sharing social".split())
+PROSE_LINE, PROSE_LINKED = 60, 0.25
 #: A header of one of these belongs to the article.
 OWN = frozenset("article content entry main page post story".split())
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
@@ -62,7 +68,7 @@ _TOKEN = re.compile(
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-INSIDE, AWAY, NAMED, LINK, HIDDEN = "inside", "away", "named", "link", "hidden"
+INSIDE, AWAY, NAMED, UNSURE, FORM, LINK, HIDDEN = "inside", "away", "named", "unsure", "form", "link", "hidden"
 
 
 def _meaning(tag: str, rest: str, in_article: bool) -> tuple[str, ...]:
@@ -74,6 +80,8 @@ def _meaning(tag: str, rest: str, in_article: bool) -> tuple[str, ...]:
         out.append(INSIDE)
     if tag in AROUND or tag == "header" and not in_article:
         out.append(AWAY)
+    if tag == "form":
+        out.append(FORM)
     if tag == "a":
         out.append(LINK)
     if rest and not rest.isspace():
@@ -86,7 +94,7 @@ def _meaning(tag: str, rest: str, in_article: bool) -> tuple[str, ...]:
             elif name in ("class", "id") and tag not in KEPT:
                 names = {x.lower() for x in _NAME.findall(value)}
                 if names & NAMES and not (names & NAMES == {"header"} and (in_article or names & OWN)):
-                    out.append(NAMED)
+                    out.append(UNSURE if in_article and names & NAMES <= PROSE else NAMED)
     return tuple(out)
 
 
@@ -94,10 +102,11 @@ class _Page:
     """Lines of a page: text, characters in links, and the marks of where it lies."""
 
     def __init__(self, source: str):
-        self.lines: list[tuple[str, int, frozenset[str], int]] = []
+        self.lines: list[tuple[str, int, frozenset[str], int, int]] = []
         self.stack: list[tuple[str, tuple[str, ...], int]] = []
-        self.count = dict.fromkeys((INSIDE, AWAY, NAMED, LINK, HIDDEN), 0)
+        self.count = dict.fromkeys((INSIDE, AWAY, NAMED, UNSURE, FORM, LINK, HIDDEN), 0)
         self.article, self.articles = 0, 0
+        self.unsure = 0
         self.parts: list[str] = []
         self.linked = 0
         at = 0
@@ -128,7 +137,7 @@ class _Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.lines.append((text, self.linked, frozenset(k for k in (INSIDE, AWAY, NAMED) if self.count[k]), self.article))
+                self.lines.append((text, self.linked, frozenset(k for k in (INSIDE, AWAY, NAMED, UNSURE, FORM) if self.count[k]), self.article, self.unsure))
             self.parts, self.linked = [], 0
 
     def open(self, tag: str, rest: str) -> None:
@@ -147,6 +156,8 @@ class _Page:
         self.stack.append((tag, meaning, self.article))
         for m in meaning:
             self.count[m] += 1
+        if UNSURE in meaning and self.count[UNSURE] == meaning.count(UNSURE):
+            self.unsure += 1
         if INSIDE in meaning and self.count[INSIDE] == 1:
             self.articles += 1
             self.article = self.articles
@@ -199,9 +210,32 @@ def stretches(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
+def _settled(lines: list[tuple[str, int, frozenset[str], int, int]]) -> list[tuple[str, int, frozenset[str], int]]:
+    """The lines with their blocks of unsure names and forms told apart by text and links."""
+    blocks: dict[int, list[int]] = {}
+    whole = form = 0
+    for text, linked, marks, _, block in lines:
+        if UNSURE in marks:
+            sums = blocks.setdefault(block, [0, 0, 0])
+            for i, n in enumerate((1, len(text), linked)):
+                sums[i] += n
+        if AWAY not in marks and NAMED not in marks:
+            whole += len(text)
+            form += len(text) * (FORM in marks)
+    prose = {k for k, (n, size, linked) in blocks.items() if size >= PROSE_LINE * n and linked <= PROSE_LINKED * size}
+    out = []
+    for text, linked, marks, article, block in lines:
+        if UNSURE in marks and block not in prose:
+            marks |= {NAMED}
+        if FORM in marks and 2 * form <= whole:
+            marks |= {AWAY}
+        out.append((text, linked, marks, article))
+    return out
+
+
 def main_text(source: str) -> str:
     """The page's article, a line for each block."""
-    lines = _Page(source).lines
+    lines = _settled(_Page(source).lines)
     for ignored in (frozenset((AWAY, NAMED)), frozenset((AWAY,))):
         open_ = [not (marks & ignored) for _, _, marks, _ in lines]
         plain = [len(text) if ok and linked <= LINKED * len(text) else 0 for ok, (text, linked, _, _) in zip(open_, lines)]

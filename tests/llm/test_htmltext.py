@@ -70,3 +70,17 @@ def test_teaser_cards_are_not_the_article():
     body = "A sentence of the body, which no element marks. " * 20
     text = main_text(f"<body><div><p>{body}</p></div><div><article><h3>Read this too</h3></article><article><h3>And this one</h3></article></div></body>")
     assert body.strip() in text.split("\n")
+
+
+@pytest.mark.parametrize("mark", ["id='discussion'", "id='related-work'", "id='search-algorithms'", "id='social-impact'", "class='commentary'"])
+def test_sections_named_like_boilerplate_are_kept(mark):
+    prose = "A long sentence of the section that the name could mislead about. " * 5
+    page = f"<article><p>{prose}</p><section {mark}><h2>Heading</h2><p>{prose}</p></section><div class='related'><a href='/x'>Another story</a></div></article>"
+    assert main_text(page).split("\n") == [prose.strip(), "Heading", prose.strip()]
+
+
+def test_a_form_around_the_page_is_the_page():
+    prose = "A long sentence of a page that is one form. " * 5
+    page = f"<body><form action='/'><nav>Home</nav><div><p>{prose}</p></div></form></body>"
+    assert main_text(page) == prose.strip()
+    assert main_text(f"<body><div><p>{prose}</p></div><form>Your name and your address, please</form></body>") == prose.strip()
