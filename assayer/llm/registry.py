@@ -84,7 +84,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     features = media.read_media(media.store(docs.select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body")), "body"))
-    name = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     page = docs.select("doc_id", F.concat(F.lit("<article><p>"), name, F.lit('</p><figure><img src="sha256:'), media.payload_digest(F.col("text")), F.lit('"><figcaption>payload of '), name, F.lit("</figcaption></figure></article>")).alias("html"))
     resolved = media.resolve(media.parse_sequences(page, "doc_id", "html"), features)
     return resolved.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

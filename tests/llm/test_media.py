@@ -44,3 +44,11 @@ def test_frame(spark):
         assert out[i].tail_crc32 == zlib.crc32(payload[-32:]) and out[i].media_sha256 == hashlib.sha256(media.to_png(payload)).hexdigest() and out[i].feature == media.feature(payload)
     assert out[9].payload_bytes is None and out[9].caption == "none" and 10 not in out
     assert media.store(docs.limit(0).select(F.encode("text", "UTF-8").alias("b")), "b").count() == 0
+
+
+def test_a_document_without_an_id_is_in_the_result(spark, tmp_path):
+    from assayer.llm import registry
+
+    spark.createDataFrame([(1, "one text"), (None, "another text")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.doc_id for r in registry.op2_media(spark, str(tmp_path)).collect()]
+    assert sorted(set(got), key=str) == [1, None]
