@@ -1,7 +1,9 @@
-"""What the operators share: shipping the package, slicing Arrow batches, work folders."""
+"""What the operators share: shipping the package, slicing Arrow batches, work folders, joins on keys that may be hot."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -11,10 +13,13 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and payload bytes of one slice that a Python function sees at a time.
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
+#: A key with at least this share of a table's rows, so at most 1/HEAVY keys, is joined by a broadcast.
+HEAVY, HEAVY_LEAST = 1 / 1024, 256
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,6 +46,28 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, rows)
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a reused worker doesn't keep a task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """A function for mapInArrow that releases memory when its task ends."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over small slices; ``make`` runs once a task and returns the function."""
     ship(df.sparkSession)
@@ -50,19 +77,19 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         for part in slices(batches):
             yield each(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the shared folder that the cluster names.
+    """A fresh folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset,
-    as in tests on one machine, a temporary folder is made and set.
+    Without one, a session on one machine gets a temporary folder; on a cluster,
+    where executors could not see it, that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="assayer-work-")).as_uri()
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -72,4 +99,31 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once nothing reads it any more."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; ``how`` is inner or left.
+
+    Rows of ``left`` whose key is heavy meet a broadcast of those rows of ``right``, at most
+    1/HEAVY of them; the others, and null keys, meet by a shuffle.  So no key fills a task.
+    ``left`` is read twice and should be a kept table.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    bound = max(HEAVY_LEAST, HEAVY * left.count())
+    heavy = [r[0] for r in counts.where(F.col("rows") >= bound).select(key).collect()]
+    if not heavy:
+        return left.join(right, key, how)
+    keys = left.sparkSession.createDataFrame([(k,) for k in heavy], left.select(key).schema)
+    few = right.join(F.broadcast(keys), key, "left_semi")
+    hot = left.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few), key, how)
+    return left.join(F.broadcast(keys), key, "left_anti").join(right, key, how).unionByName(hot)

@@ -2,10 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import keep
+from assayer.llm.common import attach, discard, keep, releasing, ship
+
+#: Links that a task joins in its own memory before the first round.
+LOCAL = 500_000
+
+
+def _forest(links: list[np.ndarray]) -> pa.RecordBatch:
+    """Each node of some links with the least one that it reaches through them."""
+    hi, lo = np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links])
+    nodes, at = np.unique(np.concatenate((hi, lo)), return_inverse=True)
+    hi, lo = at[: len(hi)], at[len(hi) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[hi], root[lo])
+        new = root.copy()
+        np.minimum.at(new, root[hi], least)
+        np.minimum.at(new, root[lo], least)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["hi", "lo"])
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)]))
+        if sum(x.shape[1] for x in held) >= LOCAL:
+            yield _forest(held)
+            held = []
+    if held:
+        yield _forest(held)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,20 +53,28 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without links are absent.
 
-    ``links`` has the long columns ``a`` and ``b``.  Large-star and small-star
-    steps alternate until nothing changes; each is an aggregation with partial
-    sums and a join that may be split at hot nodes.  Every round is written to
-    the shared folder, so a lost executor costs one round at most.
+    ``links`` has the long columns ``a`` and ``b``.  Tasks first shrink their own links
+    to forests; then large-star and small-star steps alternate until nothing
+    changes.  A node that is the least of its neighbourhood keeps its edges in
+    a large-star step, so only the others, rarely hubs, are joined, and heavy
+    ones by a broadcast of a bounded number of them.  Every round is written to
+    the shared folder, so a lost executor costs one round at most, and replaces the one before.
     """
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+    ship(links.sparkSession)
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    edges = keep(edges.mapInArrow(releasing(_contract), "hi long, lo long").distinct(), "links")
     state = _state(edges)
     while True:
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = keep(small.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        least = both.groupBy(F.col("u").alias("lo")).agg(F.min("v").alias("m")).where("m < lo")
+        large = attach(edges, least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        large = keep(large.distinct(), "links")
+        # Smaller neighbours of a node other than the least one move to that.
+        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("smaller"))
+        moved = attach(large, lowest.where("smaller > 1").select("hi", "m"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        old, edges = edges, keep(moved.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        discard(large)
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             roots = edges.select(F.col("lo").alias("node")).distinct()

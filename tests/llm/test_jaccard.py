@@ -70,7 +70,11 @@ def test_bounds_never_exclude_a_link():
         drop = r.randint(0, n // 5)
         b = np.array(sorted({int(x) for x in a[drop:]} | {r.getrandbits(64) for _ in range(r.randint(0, n // 5))}), np.uint64)
         if jaccard.linked(a, b):
-            assert jaccard.may_link(len(a), jaccard.bitmap(a), len(b), jaccard.bitmap(b))
+            assert jaccard.within_bounds(np.array([len(a)]), [jaccard.bitmap(a)], np.array([len(b)]), [jaccard.bitmap(b)]).all()
+            dealt = [x[: jaccard.dealt(len(x))] for x in (a, b)]
+            assert len(np.intersect1d(*dealt)) >= max(jaccard.needed(len(a)), jaccard.needed(len(b)))
+            bands = np.searchsorted(jaccard.EDGES, [len(a), len(b)], side="right")
+            assert abs(int(bands[0]) - int(bands[1])) <= 1
             hot = np.array(sorted(r.sample(a.tolist(), len(a) // 3)), np.uint64)
             assert {*jaccard.prefix(a, hot).tolist()} & {*jaccard.prefix(b, hot).tolist()}
             got = jaccard.cell_pairs(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)], np.array([0, 1]), True)
