@@ -8,14 +8,16 @@ the lines outside them and outside links, all of them are the article and what l
 outside weighs nothing; where they hold less, as teaser cards do, they weigh like any
 line.  Weights are summed over a sliding window of ``LINES`` lines.
 Inside an article, a block whose only such names are also headings of prose (``PROSE``) is
-dropped only if its lines are short or hold many links.  A form that holds most of the
+dropped only if its lines are short or hold many links; one whose names may be its topic
+(``TOPIC``) is kept if it holds most of the article.  A form that holds most of the
 page's text is the page.
 Where the sum surges above ``SURGE`` a stretch begins, at the first line with
 weight in that window; it ends where the sum dives to nothing.  The lines of all
 stretches that aren't weightless are the text.
 
 Defined cases: null or empty HTML gives an empty text; broken markup closes as
-a browser would close it; an unclosed comment or script runs to the end; repeated
+a browser would close it; an unclosed comment or script runs to the end; a page of any
+length is scanned once, without backtracking; repeated
 rows give repeated results; only the named columns are read.
 """
 
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +58,8 @@ NAMES = frozenset(
 #: Those of the names that also name sections of an article: such a block's lines have so many characters on average, and at most this share in links.
 PROSE = frozenset("commentary discussion navigation promotion promotions recommendations related response responses search sharing social".split())
 PROSE_LINE, PROSE_LINKED = 60, 0.25
+#: Those that may also be what a whole article is about: inside an article such a block is the body if it holds more than half of it, at most that share in links.
+TOPIC = PROSE | frozenset("follow login notice notices notification notifications privacy share signin signup skip subscribe subscription trending".split())
 #: A header of one of these belongs to the article.
 OWN = frozenset("article content entry main page post story".split())
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
@@ -61,14 +67,62 @@ RAW = "script|style|xmp|noscript|iframe|noembed|noframes|textarea|title|svg|temp
 #: A block that opens closes an open one of the same set, up to one of the bounds.
 IMPLIED = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "tr": ("tr td th", ("table",)), "option": ("option", ("select", "datalist"))}
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup.
+RAW_TAGS = frozenset(RAW.split("|"))
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-INSIDE, AWAY, NAMED, UNSURE, FORM, LINK, HIDDEN = "inside", "away", "named", "unsure", "form", "link", "hidden"
+
+def tokens(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, tag, rest, closes) of everything that is no text, in one pass; comments and the like have no tag.
+
+    Quotes hide a ``>`` in attribute values.  Once a value runs to the end of the page,
+    as in one that was cut off, quotes no longer count, so that no page is scanned twice.
+    """
+    at, quotes = 0, True
+    lower = source.lower() if len(source.lower()) == len(source) else source
+    while (start := source.find("<", at)) >= 0:
+        named = _TAG.match(source, start + 1)
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            end = len(source) if end < 0 else end + 3
+            yield start, end, "", "", False
+        elif source.startswith(("<!", "<?"), start):
+            end = source.find(">", start) + 1
+            if not end:
+                return
+            yield start, end, "", "", False
+        elif not named:
+            at = start + 1
+            continue
+        else:
+            stop, place = -1, named.end()
+            while quotes:
+                found = _STOP.search(source, place)
+                if not found or not found[1]:
+                    stop = found.start() if found else -1
+                    quotes = found is not None
+                    break
+                place = source.find(found[1], found.end()) + 1
+                quotes = place > 0
+            if stop < 0:
+                stop = source.find(">", named.end())
+                if stop < 0:
+                    return
+            end, tag, closes = stop + 1, named[2].lower(), bool(named[1])
+            if tag in RAW_TAGS and not closes:
+                close = lower.find(f"</{tag}", end)
+                over = source.find(">", close) if close >= 0 else -1
+                end = over + 1 if over >= 0 else len(source)
+                yield start, end, "", "", False
+            else:
+                yield start, end, tag, source[named.end() : stop], closes
+        at = end
+
+
+INSIDE, AWAY, NAMED, UNSURE, PROSED, FORM, LINK, HIDDEN = "inside", "away", "named", "unsure", "prosed", "form", "link", "hidden"
 
 
 def _meaning(tag: str, rest: str, in_article: bool) -> tuple[str, ...]:
@@ -94,35 +148,38 @@ def _meaning(tag: str, rest: str, in_article: bool) -> tuple[str, ...]:
             elif name in ("class", "id") and tag not in KEPT:
                 names = {x.lower() for x in _NAME.findall(value)}
                 if names & NAMES and not (names & NAMES == {"header"} and (in_article or names & OWN)):
-                    out.append(UNSURE if in_article and names & NAMES <= PROSE else NAMED)
+                    out.append((PROSED if names & NAMES <= PROSE else UNSURE) if in_article and names & NAMES <= TOPIC else NAMED)
     return tuple(out)
 
 
+#: Text, characters in links, marks, the article, and the open blocks of unsure names with whether prose excuses them.
+Line = tuple[str, int, frozenset[str], int, tuple[tuple[int, bool], ...]]
+#: Blocks of unsure names, one in another, that are told apart.
+DEEP = 32
+
+
 class _Page:
     """Lines of a page: text, characters in links, and the marks of where it lies."""
 
     def __init__(self, source: str):
-        self.lines: list[tuple[str, int, frozenset[str], int, int]] = []
-        self.stack: list[tuple[str, tuple[str, ...], int]] = []
-        self.count = dict.fromkeys((INSIDE, AWAY, NAMED, UNSURE, FORM, LINK, HIDDEN), 0)
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, tuple[str, ...], int, tuple[tuple[int, bool], ...]]] = []
+        self.count = dict.fromkeys((INSIDE, AWAY, NAMED, UNSURE, PROSED, FORM, LINK, HIDDEN), 0)
+        self.opened: Counter[str] = Counter()
         self.article, self.articles = 0, 0
-        self.unsure = 0
+        self.unsure: tuple[tuple[int, bool], ...] = ()  # the open blocks of unsure names, and whether prose excuses them
+        self.blocks = 0
         self.parts: list[str] = []
         self.linked = 0
         at = 0
-        for token in _TOKEN.finditer(source):
-            if token.start() > at:
-                self.say(source[at : token.start()])
-            at = token.end()
-            tag = token["tag"]
-            if tag:
-                tag = tag.lower()
-                if token["close"]:
-                    self.close(tag)
-                else:
-                    self.open(tag, token["rest"])
-            elif token["raw"] and token["raw"].lower() == "title":
-                pass
+        for start, end, tag, rest, closes in tokens(source):
+            if start > at:
+                self.say(source[at:start])
+            at = end
+            if closes:
+                self.close(tag)
+            elif tag:
+                self.open(tag, rest)
         if at < len(source):
             self.say(source[at:])
         self.flush()
@@ -137,7 +194,7 @@ class _Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.lines.append((text, self.linked, frozenset(k for k in (INSIDE, AWAY, NAMED, UNSURE, FORM) if self.count[k]), self.article, self.unsure))
+                self.lines.append((text, self.linked, frozenset(k for k in (INSIDE, AWAY, NAMED, FORM) if self.count[k]), self.article, self.unsure))
             self.parts, self.linked = [], 0
 
     def open(self, tag: str, rest: str) -> None:
@@ -153,22 +210,26 @@ class _Page:
         if tag in VOID:
             return
         meaning = _meaning(tag, rest, bool(self.count[INSIDE]))
-        self.stack.append((tag, meaning, self.article))
+        self.stack.append((tag, meaning, self.article, self.unsure))
+        self.opened[tag] += 1
         for m in meaning:
             self.count[m] += 1
-        if UNSURE in meaning and self.count[UNSURE] == meaning.count(UNSURE):
-            self.unsure += 1
+        if (UNSURE in meaning or PROSED in meaning) and len(self.unsure) < DEEP:
+            self.blocks += 1
+            self.unsure += ((self.blocks, UNSURE not in meaning),)
         if INSIDE in meaning and self.count[INSIDE] == 1:
             self.articles += 1
             self.article = self.articles
 
     def pop(self) -> None:
-        _, meaning, before = self.stack.pop()
+        tag, meaning, self.article, self.unsure = self.stack.pop()
+        self.opened[tag] -= 1
         for m in meaning:
             self.count[m] -= 1
-        self.article = before
 
     def imply(self, tags: list[str], bounds: tuple[str, ...]) -> None:
+        if not any(self.opened[tag] for tag in tags):
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] in tags:
                 while len(self.stack) > depth:
@@ -180,7 +241,7 @@ class _Page:
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for depth in range(len(self.stack) - 1, -1, -1):
+        for depth in range(len(self.stack) - 1, -1, -1) if self.opened[tag] else ():
             if self.stack[depth][0] == tag:
                 while len(self.stack) > depth:
                     self.pop()
@@ -210,22 +271,25 @@ def stretches(weights: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
-def _settled(lines: list[tuple[str, int, frozenset[str], int, int]]) -> list[tuple[str, int, frozenset[str], int]]:
+def _settled(lines: list[Line]) -> list[tuple[str, int, frozenset[str], int]]:
     """The lines with their blocks of unsure names and forms told apart by text and links."""
     blocks: dict[int, list[int]] = {}
-    whole = form = 0
-    for text, linked, marks, _, block in lines:
-        if UNSURE in marks:
+    whole = form = inside = 0
+    for text, linked, marks, article, named in lines:
+        for block, _ in named:
             sums = blocks.setdefault(block, [0, 0, 0])
             for i, n in enumerate((1, len(text), linked)):
                 sums[i] += n
         if AWAY not in marks and NAMED not in marks:
             whole += len(text)
             form += len(text) * (FORM in marks)
-    prose = {k for k, (n, size, linked) in blocks.items() if size >= PROSE_LINE * n and linked <= PROSE_LINKED * size}
+            inside += len(text) * bool(article)
+    few = {k for k, (_, size, linked) in blocks.items() if linked <= PROSE_LINKED * size}
+    prose = {k for k in few if blocks[k][1] >= PROSE_LINE * blocks[k][0]}
+    body = {k for k in few if 2 * blocks[k][1] > inside}
     out = []
-    for text, linked, marks, article, block in lines:
-        if UNSURE in marks and block not in prose:
+    for text, linked, marks, article, named in lines:
+        if any(k not in body and not (excused and k in prose) for k, excused in named):
             marks |= {NAMED}
         if FORM in marks and 2 * form <= whole:
             marks |= {AWAY}

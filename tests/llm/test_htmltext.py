@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -84,3 +85,37 @@ def test_a_form_around_the_page_is_the_page():
     page = f"<body><form action='/'><nav>Home</nav><div><p>{prose}</p></div></form></body>"
     assert main_text(page) == prose.strip()
     assert main_text(f"<body><div><p>{prose}</p></div><form>Your name and your address, please</form></body>") == prose.strip()
+
+
+@pytest.mark.parametrize("name", ["follow-up", "related", "search", "social", "privacy", "notice", "login", "response"])
+def test_a_body_named_like_boilerplate_is_kept(name):
+    prose = "A long sentence of the body of a page. " * 12
+    page = f"<main><div class='{name}'><p>{prose}</p><div class='ad'>Buy it now</div></div><p>The end.</p></main>"
+    assert main_text(page).split("\n") == [prose.strip(), "The end."]
+
+
+def test_notices_in_an_article_are_dropped():
+    prose = "A long sentence of the body of a page. " * 12
+    page = f"<article><div class='privacy-notice'><p>{'We value what you do here and ask you to agree. ' * 2}</p></div><p>{prose}</p></article>"
+    assert main_text(page) == prose.strip()
+
+
+def test_the_window_decides_where_no_element_marks_the_article(monkeypatch):
+    prose = "A long sentence of the body of a page. " * 6
+    far = "".join(f"<div><a href='{i}'>entry {i}</a></div>" for i in range(6))
+    page = f"<body><div>Est. 1987</div>{far}<div><p>{prose}</p><p>Short.</p><p>{prose}</p></div>{far}<div>Printed here</div></body>"
+    want = [prose.strip(), "Short.", prose.strip()]
+    assert main_text(page).split("\n") == want
+    monkeypatch.setattr("assayer.llm.htmltext.SURGE", 1)
+    assert main_text(page).split("\n") == ["Est. 1987", *want, "Printed here"]
+
+
+@pytest.mark.parametrize("page", ["<div data-x=" + '"x' * 100_000, "<div data-x=" + '"x' * 99_999 + "<p>t</p>", "<a " * 100_000, '<a x=">" ' * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<" * 200_000, "<!--" * 100_000, "<script>" * 50_000])
+def test_long_broken_pages_end_soon(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 2
+
+
+def test_quotes_and_ends_of_tags():
+    assert main_text('<p title="a > b">one</p><p title=\'c > d\'>two</p><p title=">three</p><p>four</p>') == "one\ntwo\nthree\nfour"
