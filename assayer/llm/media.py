@@ -2,18 +2,21 @@
 
 ``parse_sequences`` turns HTML into ordered structs: runs of text, and media
 references with position, digest and caption.  ``store`` turns byte payloads
-into media rows keyed by their digest: an 8-bit greyscale PNG of ``WIDTH``
-samples a line, lossless, one row for each distinct payload.  ``resolve``
-joins references to what was read back from the stored bytes, by digest;
-position and caption stay with their reference.
+into media rows keyed by the digest of the bytes: an 8-bit greyscale PNG of ``WIDTH``
+samples a line, lossless, with the unpadded length in a text chunk, one row for each
+distinct payload.  ``resolve`` joins references to what was read back from the stored
+bytes, by digest; position and caption stay with their reference.
 
 Payloads are shuffled once, compressed; only digests and features meet in the
-join, where a digest that very many documents use is split by the skew join.
+join, where a digest that very many documents use meets a broadcast of its one row.
 
 Defined cases: null bytes or text count as empty; a payload is padded with
-bytes 255 to a positive multiple of ``WIDTH``; equal payloads share one stored
+bytes 255 to a positive multiple of ``WIDTH``, and may itself end in them; texts may be of
+any length, one at a time in memory; equal payloads share one stored
 row; a reference whose digest has no stored row keeps its place with null
-features; null HTML has an empty sequence; empty tables give empty tables.
+features; null HTML has an empty sequence; a row with a null id keeps its references, with a
+null id; repeated rows give repeated references; a caption covers all media of its figure,
+whatever blocks it is made of; only the named columns are read; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import map_slices
+from assayer.llm.common import attach, keep, map_slices
 
 WIDTH = 576
 LEVEL = 6
 SCHEME = "sha256:"
+#: Keyword of the PNG text chunk that holds the unpadded length.
+LENGTH = b"Length"
+BLOCKS = frozenset("p div li h1 h2 h3 h4 h5 h6 article section tr blockquote".split())
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -46,20 +52,21 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes) -> bytes:
-    """Samples in lines of ``WIDTH``, each line with filter 0."""
-    lines = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+def to_png(body: bytes) -> bytes:
+    """The padded payload's samples in lines of ``WIDTH``, each line with filter 0, and the unpadded length."""
+    lines = np.frombuffer(padded(body), np.uint8).reshape(-1, WIDTH)
     raw = np.zeros((len(lines), WIDTH + 1), np.uint8)
     raw[:, 1:] = lines
     head = struct.pack(">IIBBBBB", WIDTH, len(lines), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
+    said = LENGTH + b"\0" + str(len(body)).encode()
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"tEXt", said) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
-def from_png(media: bytes) -> bytes:
-    """The samples of a greyscale PNG as ``to_png`` writes it; checks every chunk's checksum."""
+def from_png(media: bytes) -> tuple[bytes, int]:
+    """The samples of a greyscale PNG as ``to_png`` writes it, and the unpadded length; checks every chunk's checksum."""
     if media[:8] != _SIGNATURE:
         raise ValueError("not a PNG")
-    at, width, height, data = 8, 0, 0, []
+    at, width, height, length, data = 8, 0, 0, None, []
     while at < len(media):
         (n,), kind = struct.unpack(">I", media[at : at + 4]), media[at + 4 : at + 8]
         body = media[at + 8 : at + 8 + n]
@@ -69,11 +76,13 @@ def from_png(media: bytes) -> bytes:
             width, height = struct.unpack(">II", body[:8])
         elif kind == b"IDAT":
             data.append(body)
+        elif kind == b"tEXt" and body.startswith(LENGTH + b"\0"):
+            length = int(body[len(LENGTH) + 1 :])
         at += 12 + n
     lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)
-    if lines[:, 0].any():
-        raise ValueError("a filter that isn't written here")
-    return lines[:, 1:].tobytes()
+    if lines[:, 0].any() or length is None or length > height * width:
+        raise ValueError("a PNG that isn't written here")
+    return lines[:, 1:].tobytes(), length
 
 
 def feature(payload: bytes) -> str:
@@ -88,15 +97,14 @@ def feature(payload: bytes) -> str:
 
 
 def store(df: DataFrame, bytes_col: str) -> DataFrame:
-    """digest, media: one stored PNG for each distinct padded payload."""
+    """digest, media: one stored PNG for each distinct payload, by the digest of its unpadded bytes."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             seen: dict[str, bytes] = {}
             for body in batch.column(0).to_pylist():
-                payload = padded(body or b"")
-                if (digest := hashlib.sha256(payload).hexdigest()) not in seen:
-                    seen[digest] = to_png(payload)
+                if (digest := hashlib.sha256(body or b"").hexdigest()) not in seen:
+                    seen[digest] = to_png(body or b"")
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.binary())], ["digest", "media"])
 
         return each
@@ -111,8 +119,8 @@ def read_media(media: DataFrame) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[] for _ in range(8)]
             for digest, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                payload = from_png(stored)
-                row = (digest, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload))
+                payload, length = from_png(stored)
+                row = (digest, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -130,7 +138,7 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.hidden = self.caption_at = 0
+        self.hidden, self.caption_at = 0, False
         self.figure: int | None = None
 
     def flush(self) -> None:
@@ -141,34 +149,48 @@ class _Sequence(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
-        if tag in ("script", "style", "template"):
+        if self.caption_at and tag in BLOCKS:
+            self.text.append(" ")  # blocks of a caption are one caption
+        elif tag in ("script", "style", "template"):
             self.hidden += 1
         elif tag == "figure":
+            self.captioned()
             self.flush()
             self.figure = len(self.items)
         elif tag == "figcaption":
+            self.captioned()
             self.flush()
-            self.caption_at = len(self.items) + 1
+            self.caption_at = True
         elif tag in ("img", "video", "audio", "source") and named.get("src"):
-            self.flush()
+            if not self.caption_at:
+                self.flush()
             src = named["src"]
             self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, "caption": named.get("alt")})
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "tr", "blockquote"):
+        elif tag in BLOCKS:
             self.flush()
 
+    def captioned(self) -> None:
+        """The open caption, if any, goes to its figure's media."""
+        if not self.caption_at:
+            return
+        caption = " ".join("".join(self.text).split())
+        self.text, self.caption_at = [], False
+        for item in self.items[self.figure or 0 :] if caption else []:
+            if item["kind"] == "media":
+                item["caption"] = caption
+
     def handle_endtag(self, tag):
         if tag in ("script", "style", "template"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption_at:
-            caption = " ".join("".join(self.text).split())
-            self.text, self.caption_at = [], 0
-            for item in self.items[self.figure or 0 :] if caption else []:
-                if item["kind"] == "media":
-                    item["caption"] = caption
+        elif tag == "figcaption":
+            self.captioned()
         elif tag == "figure":
+            self.captioned()
             self.flush()
             self.figure = None
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "tr", "blockquote"):
+        elif self.caption_at and tag in BLOCKS:
+            self.text.append(" ")
+        elif tag in BLOCKS:
             self.flush()
 
     def handle_data(self, data):
@@ -180,6 +202,7 @@ def sequence(html: str) -> list[dict]:
     parser = _Sequence()
     parser.feed(html)
     parser.close()
+    parser.captioned()
     parser.flush()
     return parser.items
 
@@ -202,12 +225,9 @@ def resolve(sequences: DataFrame, features: DataFrame) -> DataFrame:
     """One row for each media reference: id, position, caption and the features of its digest."""
     items = sequences.select("id", F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = items.select("id", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
-    return refs.join(features, "digest", "left")
+    return attach(keep(refs, "references"), keep(features, "features"), "digest", "left")
 
 
 def payload_digest(text: Column) -> Column:
-    """The digest of a text's padded payload, in the JVM."""
-    body = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    size = F.octet_length(body)
-    missing = F.when(size == 0, F.lit(WIDTH)).otherwise(F.pmod(-size, F.lit(WIDTH)))
-    return F.sha2(F.concat(body, F.unhex(F.repeat(F.lit("FF"), missing.cast("int")))), 256)
+    """The digest of a text's bytes, in the JVM."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
