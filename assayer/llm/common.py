@@ -114,16 +114,18 @@ def discard(kept: DataFrame) -> None:
 def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row a key; ``how`` is inner or left.
 
-    Rows of ``left`` whose key is heavy meet a broadcast of those rows of ``right``, at most
-    1/HEAVY of them; the others, and null keys, meet by a shuffle.  So no key fills a task.
+    Rows of ``left`` whose key is heavy, or null, meet a broadcast of those rows of ``right``, at most
+    1/HEAVY of them; the others meet by a shuffle.  So no key fills a task.
     ``left`` is read twice and should be a kept table.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     bound = max(HEAVY_LEAST, HEAVY * left.count())
     heavy = [r[0] for r in counts.where(F.col("rows") >= bound).select(key).collect()]
     if not heavy:
         return left.join(right, key, how)
-    keys = left.sparkSession.createDataFrame([(k,) for k in heavy], left.select(key).schema)
+    keys = left.sparkSession.createDataFrame([(k,) for k in heavy if k is not None], left.select(key).schema)
     few = right.join(F.broadcast(keys), key, "left_semi")
-    hot = left.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few), key, how)
-    return left.join(F.broadcast(keys), key, "left_anti").join(right, key, how).unionByName(hot)
+    marked = left.join(F.broadcast(keys.withColumn("_heavy", F.lit(True))), key, "left")
+    is_hot = F.coalesce(F.col("_heavy"), F.col(key).isNull())
+    hot = marked.where(is_hot).drop("_heavy").join(F.broadcast(few), key, how)
+    return marked.where(~is_hot).drop("_heavy").join(right, key, how).unionByName(hot)

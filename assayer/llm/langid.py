@@ -1,8 +1,10 @@
 """Language identification by Bayesian fusion of text, markup, address and host.
 
 The text's likelihood under each language comes from a model of character
-trigrams inside words, shared by all rows and fitted on at most ``SAMPLE``
-rows whose language is declared.  A declared language enters by the measured
+trigrams inside words, shared by all rows and fitted on about ``SAMPLE``
+different texts whose language is declared, the same number for each language, chosen
+by hash out of all rows; copies count once.  Neighbouring trigrams are not independent, so the
+evidence of n words counts as n / sqrt(1 + n / ``TEMPER``).  A declared language enters by the measured
 probability of that declaration given the language.  The prior is hierarchical:
 counts of languages by host are smoothed towards those of its domain, these towards
 its address suffix, and these towards all rows.  The counts are grouped
@@ -13,9 +15,9 @@ A row is rejected if its text has no letters, if more than ``STRANGE`` of its
 trigrams were never seen in any language, or if no language reaches
 ``LEAST`` in the posterior.
 
-Defined cases: null or empty texts are rejected; null declarations and addresses
-are no evidence; languages are those declared by at least ``LEAST_ROWS`` rows of the
-sample; without any, every row is rejected; repeated rows count as often
+Defined cases: null or empty texts are rejected; texts and words may be of any length, read
+in parts; null declarations and addresses are no evidence; a null id stays a null id; languages are those declared by at least ``LEAST_ROWS`` different
+texts, the ``SAMPLE // LEAST_ROWS`` most frequent ones if there are more; without any, every row is rejected; repeated rows count as often
 as they occur; ties go to the language that comes first in the alphabet; empty tables give
 empty tables; other columns are ignored.
 """
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import keep, map_slices, ship, slices
+from assayer.llm.common import attach, keep, map_slices, releasing, ship, slices
 
 SAMPLE = 8_000
 LEAST_ROWS = 5
@@ -41,17 +43,19 @@ LEAST_ROWS = 5
 LEAST_TEXTS = 2
 #: Pseudo-count of a trigram, weight of a coarser prior, pseudo-count of declarations.
 ALPHA, WEIGHT, DECLARED = 0.5, 8.0, 1.0
-#: A text of n words counts as evidence like at most this many independent words.
-WORDS_COUNTED = 40.0
+TEMPER = 8.0
 STRANGE, LEAST = 0.5, 0.6
-REMEMBERED = 120_000
+#: Words that a task remembers, and their characters; trigrams of one word looked up at a time.
+REMEMBERED, REMEMBERED_CHARS, GRAMS = 120_000, 4_000_000, 10_000
 WORDS = re.compile(r"[^\W\d_]+")
 EVIDENCE = "id string, host string, declared string, lang string, loglik array<double>, words long, strange double"
 
 
-def trigrams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+def trigrams(word: str, start: int = 0, end: int | None = None) -> list[str]:
+    """The word's trigrams from number ``start`` to the one before ``end``; a space stands at either side of the word."""
+    end = len(word) if end is None else min(len(word), end)
+    part = (" " if not start else "") + word[max(0, start - 1) : end + 1] + (" " if end == len(word) else "")
+    return [part[i : i + 3] for i in range(end - start)]
 
 
 @dataclass
@@ -71,18 +75,20 @@ class Reader(dict):
         self.model = model
         self.width = len(model.languages) + 2
         self.rows = np.zeros((1024, self.width))
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        grams = trigrams(word)
-        known = [self.model.table.get(g) for g in grams]
-        values = np.array([k or self.model.unseen for k in known])
+        row = np.zeros(self.width)
+        for start in range(0, len(word), GRAMS):
+            grams = trigrams(word, start, start + GRAMS)
+            known = [self.model.table.get(g) for g in grams]
+            row += [*np.array([k or self.model.unseen for k in known]).sum(0), len(grams), sum(k is None for k in known)]
         at = len(self)
         if at >= len(self.rows):
             self.rows = np.vstack((self.rows, np.zeros_like(self.rows)))
-        self.rows[at] = [*values.sum(0), len(grams), sum(k is None for k in known)]
+        self.rows[at] = row
         self[word] = at
+        self.chars += len(word)
         return at
 
     def read(self, text: str) -> tuple[list[float], int, float]:
@@ -91,13 +97,13 @@ class Reader(dict):
         total = np.zeros(self.width)
         for at in range(0, len(words), 50_000):  # in parts, so that the memory of words may be emptied between
             part = words[at : at + 50_000]
-            if len(self) + len(part) > REMEMBERED:
+            if len(self) + len(part) > REMEMBERED or self.chars > REMEMBERED_CHARS:
                 self.clear()
+                self.chars = 0
             index = [self[w] for w in part]
             total += self.rows[index].sum(0)
         grams = max(1.0, total[-2])
-        effective = min(1.0, WORDS_COUNTED / max(1, len(words)))
-        return (total[:-2] * effective).tolist(), len(words), float(total[-1] / grams)
+        return (total[:-2] / math.sqrt(1 + len(words) / TEMPER)).tolist(), len(words), float(total[-1] / grams)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +128,19 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Trigram likelihoods from at most ``sample`` rows (text, lang) by hash order."""
     ship(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null").select("text", "lang")
-    # The order is by hashes, so only they are sorted before the limit.
-    chosen = rows.select(F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(sample).select("h").distinct()
-    own = keep(rows.withColumn("h", F.xxhash64("text", "lang")).join(F.broadcast(chosen), "h", "left_semi").select("text", "lang"), "declared")
-    counted = own.mapInArrow(_count, "lang string, gram string, n long, texts long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toArrow().to_pydict()
+    rows = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    declared = keep(rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("rows")).select("lang", "h"), "declared")
+    # Bounded: each language listed gets LEAST_ROWS texts of the sample at least.
+    each = declared.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).where(f"texts >= {LEAST_ROWS}").orderBy(F.desc("texts"), "lang").limit(max(1, sample // LEAST_ROWS)).collect()
+    quota = max(LEAST_ROWS, sample // max(1, len(each)))
+    # A share of the range of hashes, so the same texts for whatever order of rows; a language with few texts gives all.
+    bounds = [(r["lang"], int(-(1 << 63) + min(1.0, quota / r["texts"]) * ((1 << 64) - 2048))) for r in each]
+    bound = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    chosen = declared.join(F.broadcast(bound), "lang").where(F.xxhash64("h") <= F.col("bound")).select("lang", "h")
+    chosen = chosen.orderBy(F.xxhash64("h"), "lang").limit(2 * sample)  # the shares give about ``sample``
+    # Copies go before the shuffle; a text has one row for each language that it is declared in.
+    own = keep(rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("text", "lang").distinct(), "declared")
+    counted = own.mapInArrow(releasing(_count), "lang string, gram string, n long, texts long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).toArrow().to_pydict()
     by: dict[str, Counter] = {}
     texts: Counter = Counter()
     for gram, n in zip(counted["gram"], counted["texts"], strict=True):
@@ -155,6 +169,7 @@ def declared_in(markup: Column) -> Column:
 
 
 def _evidence(rows: DataFrame, model: Model, extract=None) -> DataFrame:
+    """A kept table; the model leaves the executors with it."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -173,7 +188,9 @@ def _evidence(rows: DataFrame, model: Model, extract=None) -> DataFrame:
 
         return each
 
-    return map_slices(rows.select("id", "host", "declared", "text", "markup"), make, EVIDENCE)
+    told = keep(map_slices(rows.select("id", "host", "declared", "text", "markup"), make, EVIDENCE), "evidence")
+    shared.destroy()
+    return told
 
 
 def identify(rows: DataFrame, model: Model, extract=None) -> DataFrame:
@@ -183,7 +200,7 @@ def identify(rows: DataFrame, model: Model, extract=None) -> DataFrame:
     ``extract`` turns markup into text.
     """
     ship(rows.sparkSession)
-    told = keep(_evidence(rows, model, extract), "evidence")
+    told = _evidence(rows, model, extract)
     k = len(model.languages)
     if not k:
         return told.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"), F.col("lang").alias("text_lang"), "declared", "host")
@@ -194,11 +211,11 @@ def identify(rows: DataFrame, model: Model, extract=None) -> DataFrame:
 
     hosts = votes([F.col("host")], ["host"]).where("host is not null")
     domain, suffix = host_parts(F.col("host"))
-    levels = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), F.col("votes").alias("of_host"))
+    levels = keep(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), F.col("votes").alias("of_host")), "hosts")
     summed = [F.array(*(F.sum(F.col("of_host")[i]) for i in range(k)))]
     domains = levels.groupBy("domain").agg(summed[0].alias("of_domain"))
     suffixes = levels.groupBy("suffix").agg(summed[0].alias("of_suffix"))
-    priors = levels.join(domains, "domain").join(suffixes, "suffix").select("host", "of_host", "of_domain", "of_suffix")
+    priors = attach(keep(attach(levels, domains, "domain"), "hosts"), suffixes, "suffix").select("host", "of_host", "of_domain", "of_suffix")
     # A row for each declaration and language: bounded by the languages that are told apart.
     said = told.where("declared is not null and lang is not null").groupBy("declared", "lang").count().where(F.col("declared").isin(model.languages)).collect()
     table = {(r["declared"], r["lang"]): r["count"] for r in said}
@@ -220,7 +237,7 @@ def identify(rows: DataFrame, model: Model, extract=None) -> DataFrame:
 
     total = sum(everything) + k
     base = F.array(*(F.lit((n + 1) / total) for n in everything))
-    fused = told.join(priors, "host", "left").withColumn("own", own)
+    fused = attach(told, keep(priors, "priors"), "host", "left").withColumn("own", own)
     fused = fused.withColumn("p", smoothed("of_suffix", base)).withColumn("p", smoothed("of_domain", F.col("p"))).withColumn("p", smoothed("of_host", F.col("p")))
     # Declarations outside the known languages are no evidence.
     claim = [F.coalesce(*(F.when(F.col("declared") == d, F.lit(given[d][i])) for d in model.languages), F.lit(0.0)) for i in range(k)]

@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training counts words and their prefixes in labelled texts.  The log-odds of
-a unit has a Dirichlet prior centred on its one letter shorter prefix, down to
+Training counts whole words and their prefixes of ``SHORTEST`` to ``LONGEST`` letters, every
+occurrence, in labelled texts.  The log-odds of
+a unit has a Dirichlet prior centred on the next shorter prefix, down to
 the prior of all words, so rare compounds of a telling stem lean on the stem.  A unit
 scores only if the documents it appears in are significantly more often toxic
 than others (likelihood ratio).  Every other token costs ``DRIFT``.
@@ -13,10 +14,12 @@ among clean texts; lambda solves sum p(s) exp(lambda s) = 1 over the clean
 training tokens, K is fitted by maximum likelihood.  A logistic curve on the best
 segment's surprise and the number of significant segments gives the score.
 
-Labels come from a sample of at most ``SAMPLE`` labelled rows by hash order,
+Labels come from a sample of at most ``SAMPLE`` labelled documents by hash order,
 which bounds the broadcast and the model; scoring covers whole texts of all rows.
+The driver gets counts of units, a histogram of scores rounded to thousandths, sums, and
+three numbers for each document of the sample.
 
-Defined cases: a null or empty text has no tokens and the score of the
+Defined cases: texts and words may be of any length; a null or empty text has no tokens and the score of the
 calibration at no evidence; labels null or without a document are ignored, an
 id labelled twice is toxic if any label is; without both classes in the sample
 every score is 0; repeated rows score alike; empty tables give empty tables;
@@ -36,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import keep, map_slices, ship, slices
+from assayer.llm.common import keep, map_slices, releasing, ship, slices
 
 SAMPLE = 20_000
-#: Prefixes counted, and how often a word counts in one text.
-SHORTEST, LONGEST, CAP = 3, 16, 3
+#: Letters of the prefixes that stand between all words and the whole word.
+SHORTEST, LONGEST = 3, 16
 #: Weight of a unit's prior; documents that a unit is in at least; likelihood ratio and log-odds that it takes to score.
 PRIOR, LEAST_DOCS, SIGNIFICANT, LEAST_SCORE = 10.0, 4, 15.0, 1.0
 #: Log-odds are held below this: prefixes of one word are the same evidence again.
@@ -48,14 +51,20 @@ MOST_SCORE = 8.0
 DRIFT = 0.05
 #: Expected count among clean texts below which a segment is a toxic passage.
 E_VALUE = 0.05
-REMEMBERED = 150_000
+#: Words that a task remembers, and their characters; units that it counts before it tells them.
+REMEMBERED, REMEMBERED_CHARS, COUNTED = 100_000, 4_000_000, 150_000
 WORDS = re.compile(r"[^\W\d_]+")
 PASSAGES = "array<struct<start: int, end: int, score: double, e_value: double>>"
 
 
 def units(word: str) -> list[str]:
     """Prefixes from short to long, then the whole word."""
-    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word[:LONGEST] + "$"]
+    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word + "$"]
+
+
+def parent(unit: str) -> str:
+    """The next shorter unit."""
+    return unit[:-1] if len(unit) <= LONGEST + 1 else unit[:LONGEST]
 
 
 def segments(scores: Sequence[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -116,6 +125,7 @@ class Words(dict):
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
+        self.chars = 0
 
     def __missing__(self, word: str) -> float:
         value = 0.0
@@ -123,9 +133,11 @@ class Words(dict):
             if unit in self.scores:
                 value = self.scores[unit]
                 break
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.clear()
+            self.chars = 0
         self[word] = value
+        self.chars += len(word)
         return value
 
     def read(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
@@ -138,7 +150,7 @@ COUNTS = "unit string, toxic_n long, clean_n long, toxic_docs long, clean_docs l
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Capped counts and documents by unit and label; the empty unit counts words and documents in all."""
+    """Counts and documents by unit and label; the empty unit counts words and documents in all."""
     n: tuple[Counter, Counter] = (Counter(), Counter())
     docs: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -151,13 +163,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own: Counter = Counter()
             for word, times in Counter(WORDS.findall((text or "").lower())).items():
-                own[""] += min(times, CAP)
+                own[""] += times
                 for unit in units(word):
-                    own[unit] += min(times, CAP)
+                    own[unit] += times
             own[""] += 0
             n[toxic].update(own)
             docs[toxic].update(own.keys())
-        if len(docs[0]) + len(docs[1]) > 400_000:
+        if len(docs[0]) + len(docs[1]) > COUNTED:
             yield out()
             for c in (*n, *docs):
                 c.clear()
@@ -175,7 +187,7 @@ def _log_odds(counts: dict[str, tuple[int, int, int, int]]) -> dict[str, float]:
         if not unit:
             continue
         n1, n0, d1, d0 = counts[unit]
-        prior = share.get(unit[:-1], (base, 1 - base))
+        prior = share.get(parent(unit), (base, 1 - base))
         share[unit] = toxic, clean = (n1 + PRIOR * prior[0]) / (n1 + n0 + PRIOR), (n0 + PRIOR * prior[1]) / (n1 + n0 + PRIOR)
         rate = d1 / (d1 + d0)
         ratio = 2 * (d1 * math.log(rate / base_docs) + (d0 * math.log((1 - rate) / (1 - base_docs)) if d0 else 0.0)) if rate > base_docs else 0.0
@@ -183,7 +195,7 @@ def _log_odds(counts: dict[str, tuple[int, int, int, int]]) -> dict[str, float]:
         out[unit] = score if ratio >= SIGNIFICANT and score >= LEAST_SCORE else 0.0
     # A unit without a score matters only below a prefix that has one.
     scoring = {u for u, v in out.items() if v}
-    return {u: v for u, v in out.items() if v or any(u[:k] in scoring for k in range(SHORTEST, len(u)))}
+    return {u: v for u, v in out.items() if v or any(u[:k] in scoring for k in range(SHORTEST, min(len(u), LONGEST + 1)))}
 
 
 def _decay(scores: Counter, drift: float = DRIFT) -> float:
@@ -219,9 +231,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     marks = marks.where(learn) if learn is not None else marks
     marks = marks.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = keep(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id").select("text", "toxic"), "labelled")
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")
+    texts = keep(texts.distinct().select("text", "toxic"), "labelled")  # dealt out by id and text
     sums = [F.sum(c).alias(c) for c in ("toxic_n", "clean_n", "toxic_docs", "clean_docs")]
-    counted = texts.repartition(F.xxhash64("text")).mapInArrow(_count, COUNTS).groupBy("unit").agg(*sums).where(f"unit = '' or toxic_docs + clean_docs >= {LEAST_DOCS}").toArrow().to_pydict()
+    counted = texts.mapInArrow(releasing(_count), COUNTS).groupBy("unit").agg(*sums).where(f"unit = '' or toxic_docs + clean_docs >= {LEAST_DOCS}").toArrow().to_pydict()
     counts = dict(zip(counted["unit"], zip(*(counted[c] for c in ("toxic_n", "clean_n", "toxic_docs", "clean_docs"))), strict=True))
     if not all(counts.get("", (0, 0, 0, 0))[2:]):
         return Model({})
@@ -239,14 +252,19 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 hits.append([v for _, v in values])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(tokens, pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array(hits, pa.list_(pa.float64()))], ["toxic", "tokens", "found", "hits"])
 
-    rows = texts.mapInArrow(each_text, "toxic int, tokens long, found array<double>, hits array<double>").toArrow().to_pylist()
-    clean = [r for r in rows if not r["toxic"]]
-    tokens = Counter(round(v, 3) for r in clean for v in r["hits"])
-    tokens[0.0] += sum(r["tokens"] - len(r["hits"]) for r in clean)
+    rows = keep(texts.mapInArrow(releasing(each_text), "toxic int, tokens long, found array<double>, hits array<double>"), "segments")
+    clean = rows.where("toxic = 0")
+    tokens = Counter({r["score"]: r["count"] for r in clean.select(F.explode("hits").alias("score")).groupBy(F.round("score", 3).alias("score")).count().collect()})
+    tokens[0.0] += clean.agg(F.sum("tokens")).first()[0] - sum(tokens.values())
     model.decay = _decay(tokens)
-    model.scale = len(clean) / max(1.0, sum(max(1, r["tokens"]) * math.exp(-model.decay * max(r["found"], default=0.0)) for r in clean))
-    found = [([(0, 0, s) for s in r["found"]], r["tokens"]) for r in rows]
-    model.weights = _logistic(np.array([model.evidence(*f) for f in found]), np.array([r["toxic"] for r in rows], float))
+    size, top = F.greatest(F.lit(1), F.col("tokens")), F.coalesce(F.array_max("found"), F.lit(0.0))
+    count, mass = clean.agg(F.count(F.lit(1)), F.sum(size * F.exp(-model.decay * top))).first()
+    model.scale = count / max(1.0, mass)
+    noise = F.log(model.scale * size)
+    significant = F.size(F.filter("found", lambda v: model.decay * v - noise > -math.log(E_VALUE)))
+    best = F.greatest(F.lit(-20.0), F.least(F.lit(60.0), model.decay * top - noise))
+    fit = rows.select("toxic", best.alias("best"), F.log1p(significant).alias("significant")).toArrow()
+    model.weights = _logistic(np.c_[np.asarray(fit["best"]), np.asarray(fit["significant"])], np.asarray(fit["toxic"], float))
     return model
 
 
