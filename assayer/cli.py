@@ -30,18 +30,15 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 def run_once(spark: SparkSession, config: str, reporter: Reporter) -> bool:
     """Validates all tables; whether all passed."""
-    reporter.on_start()
-    reporter.on_loading()
     tables = load_tables(config, spark)
     for k, table in enumerate(tables, 1):
-        reporter.on_table_load(k, len(tables), table.name)
-    reporter.on_validation_start()
+        reporter.tell("table", number=k, of=len(tables), name=table.name)
     passed = 0
     for table in tables:
         result = table.validate()
         passed += result.passed
-        reporter.on_table_result(result)
-    reporter.on_complete(passed, len(tables) - passed)
+        reporter.tell("result", result=result)
+    reporter.tell("end", passed=passed, failed=len(tables) - passed)
     return passed == len(tables)
 
 
@@ -57,7 +54,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         session = spark or SparkSession.builder.appName("assayer").getOrCreate()
         reporter = JsonReporter(args.path, args.brief) if args.output == "json" else ConsoleReporter(args.brief)
         if args.watch:
-            watch(declared[0]["path"], lambda: run_once(session, args.config, reporter), waiting=reporter.on_waiting)
+            watch(declared[0]["path"], lambda: run_once(session, args.config, reporter), waiting=lambda: reporter.tell("idle"))
             return 0
         return 0 if run_once(session, args.config, reporter) else 1
     except KeyboardInterrupt:

@@ -81,9 +81,9 @@ def _check_arguments(rule: dict, datatype: str, where: str) -> None:
     if name == "with_length_between":
         low, high = rule["min_length"], rule["max_length"]
         if low > high:
-            raise ConfigError(f"{where}: min length {low} must be less than max length {high}")
+            raise ConfigError(f"{where}: no text has {low} bytes or more and {high} or fewer")
         if low == high:
-            raise ConfigError(f"{where}: min length {low} equals max length; use is_exact_length")
+            raise ConfigError(f"{where}: is_exact_length is the rule for {low} bytes exactly")
     if name in ("between", "min", "max"):
         bounds = [rule[k] for k in ("min", "max") if k in rule]
         if any(isinstance(b, bool) or not isinstance(b, (int, float)) for b in bounds):

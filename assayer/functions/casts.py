@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from assayer import spec
-from assayer.functions.dates import date_pattern
+from assayer.functions.dates import parse_date
 
 #: Text that is a number of the type.  Spark's own cast would also take blanks, suffixes and fractions.
 GRAMMAR = {
@@ -20,7 +20,7 @@ def typed(raw: Column, kind: str, date_format: str | None = None) -> Column:
     if kind == spec.STRING:
         return raw
     if kind == spec.DATE:
-        return F.try_to_date(raw, date_pattern(date_format or "%Y-%m-%d"))
+        return parse_date(raw, date_format or "%Y-%m-%d")
     value = raw.try_cast(spec.SPARK_TYPES[kind])
     if kind == spec.FLOAT:
         bare = F.lower(F.regexp_replace(raw, r"^[+-]", ""))

@@ -4,7 +4,7 @@ A  one aggregation without a shuffle beyond one row a task: row count, non-null
    values, nulls, cast errors, row-local rules, relations, moments.
 B  one more for rules on the distance from the mean, with A's moments.
 C  one grouped count for each unique column.
-D  one windowed plan in blocks for all monotone columns.
+D  one plan for all monotone columns, which compares neighbours where they were read.
 
 A, C and D don't depend on each other and run as concurrent jobs.
 """
@@ -68,7 +68,7 @@ def pass_b(table: BoundTable, found: dict) -> list[Column]:
 
 def pass_c(table: BoundTable) -> dict[int, DataFrame]:
     """By column, the plan that counts its repeats."""
-    return {i: count_repeats(table.source.frame, column.value) for i, column in enumerate(table.columns.values()) if not column.mismatched and column.spec.of(spec.UNIQUE)}
+    return {i: count_repeats(table.source.frame, column.value, column.spec.kind == spec.STRING) for i, column in enumerate(table.columns.values()) if not column.mismatched and column.spec.of(spec.UNIQUE)}
 
 
 def pass_d(table: BoundTable, order_by: list[str] | None) -> tuple[DataFrame, list[tuple[int, int]]] | None:
@@ -79,9 +79,9 @@ def pass_d(table: BoundTable, order_by: list[str] | None) -> tuple[DataFrame, li
     source = table.source
     if order_by:
         ranged = with_order(source.frame, order_by, [value for *_, value in checks])
-        plan = count_breaks(ranged.placed, [(kind, F.col(f"value_{k}")) for k, (_, _, kind, _) in enumerate(checks)], ranged.block, ranged.position)
+        plan = count_breaks(ranged.placed, [(kind, F.col(f"value_{k}")) for k, (_, _, kind, _) in enumerate(checks)], ranged.block)
     elif source.ordered:
-        plan = count_breaks(source.placed, [(kind, value) for _, _, kind, value in checks], source.block, source.position)
+        plan = count_breaks(source.placed, [(kind, value) for _, _, kind, value in checks], source.block)
     else:
         raise RuleTypeError(f"{table.spec.name}: rows of a DataFrame have no order; give order_by for is_increasing and is_decreasing")
     return plan, [(i, j) for i, j, _, _ in checks]

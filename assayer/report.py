@@ -7,12 +7,11 @@ import json
 import sys
 from collections.abc import Iterable
 from pathlib import Path
-from typing import TextIO
+from typing import Any, TextIO
 
 from assayer.results import RuleResult, ValidationResult
 
 VERSION = "0.1.0"
-NAME_WIDTH = 30
 
 
 def short_number(n: int) -> str:
@@ -24,77 +23,59 @@ def short_number(n: int) -> str:
 
 
 class Reporter:
-    """Hooks that a run calls; nothing by default."""
+    """Is told of each step of a run; a method named like the step, if there is one, gets its facts.
 
-    def on_start(self) -> None: ...
-    def on_loading(self) -> None: ...
-    def on_table_load(self, current: int, total: int, name: str) -> None: ...
-    def on_validation_start(self) -> None: ...
-    def on_table_result(self, result: ValidationResult) -> None: ...
-    def on_complete(self, passed: int, failed: int) -> None: ...
-    def on_waiting(self) -> None: ...
+    Steps: ``table`` (number, of, name), ``result`` (result), ``end`` (passed, failed), ``idle``.
+    """
+
+    def tell(self, step: str, **facts: Any) -> None:
+        if method := getattr(self, step, None):
+            method(**facts)
 
 
 class ConsoleReporter(Reporter):
+    """One line for each rule: its verdict, name, share of errors and what it may be."""
+
     def __init__(self, brief: bool = False, out: TextIO | None = None):
         self.brief, self.out = brief, out or sys.stdout
 
-    def say(self, text: str) -> None:
-        print(text, file=self.out)
-
-    def on_start(self) -> None:
-        self.say(f"assayer {VERSION}\n")
-
-    def on_loading(self) -> None:
-        self.say("Loading data...")
-
-    def on_table_load(self, current: int, total: int, name: str) -> None:
-        self.say(f"  [{current}/{total}] {name}")
-
-    def on_validation_start(self) -> None:
-        self.say("\nValidating...")
-
-    def _line(self, rule: RuleResult, status: bool) -> str:
-        dots = "." * max(0, NAME_WIDTH - len(rule.rule_name))
-        head = f"      {rule.rule_name} {dots} {short_number(rule.error_count):>6}"
-        return f"{head} ({rule.error_percentage:05.2f}%) {'PASS' if rule.passed else 'FAIL'}" if status else f"{head} ({rule.error_percentage:.2f}%)"
-
-    def on_table_result(self, result: ValidationResult) -> None:
-        passed, total = result.is_passed()
-        status = f"PASSED: {passed}/{total} rules valid" if passed == total else f"FAILED: {total - passed}/{total} rules valid"
-        self.say(f"\n{result.table_name} ({short_number(result.total_rows)} rows) - \n{status}")
-        if self.brief:
-            return
-        self.say("  Column results:")
-        for name, rules in result.columns.items():
-            self.say(f"    {name}:")
-            for rule in rules:
-                self.say(f"      {rule.error_message}" if rule.error_message else self._line(rule, True))
-        if result.relations:
-            self.say("\n  Relation results:")
-            for name, rules in result.relations.items():
-                self.say(f"    {name}:")
-                for rule in rules:
-                    self.say(self._line(rule, False))
-        for warning in result.warnings:
-            self.say(f"  Warning: {warning}")
-
-    def on_complete(self, passed: int, failed: int) -> None:
-        self.say("\n" + "=" * 35)
-        self.say(f"Result: {failed} failed, {passed} passed")
-
-    def on_waiting(self) -> None:
-        self.say("\nWaiting for changes...")
+    def _print(self, *lines: str) -> None:
+        print(*lines, sep="\n", file=self.out)
+
+    def table(self, number: int, of: int, name: str) -> None:
+        self._print(f"({number} of {of}) {name}")
+
+    def result(self, result: ValidationResult) -> None:
+        good, rules = result.is_passed()
+        self._print(f"== {result.table_name}: {'ok' if result.passed else 'not ok'}, {good} of {rules} rules hold on {short_number(result.total_rows)} rows")
+        if not self.brief:
+            self._print(*(line for group in (result.columns, result.relations) for target, found in group.items() for line in self._lines(target, found)))
+        self._print(*(f"   note: {w}" for w in result.warnings))
+
+    @staticmethod
+    def _lines(target: str, rules: list[RuleResult]) -> list[str]:
+        out = [f"   {target}"]
+        for r in rules:
+            found = r.error_message or f"{short_number(r.error_count)} errors, {r.error_percentage:.2f} % (allowed {r.threshold:g} %)"
+            out.append(f"     {'+' if r.passed else '-'} {r.rule_name}: {found}")
+        return out
+
+    def end(self, passed: int, failed: int) -> None:
+        self._print(f"Tables: {passed} ok, {failed} not ok")
+
+    def idle(self) -> None:
+        self._print("Watching the file.")
 
 
 class JsonReporter(Reporter):
-    """Gathers results and writes one document when complete."""
+    """Gathers results and writes one document at the end."""
 
     def __init__(self, path: str | None = None, brief: bool = False):
         self.path, self.brief, self.tables = path, brief, []
         self.now = dt.datetime.now()
         self.written: Path | None = None
 
+    # The document's keys are a format that other programs read.
     @staticmethod
     def _rules(rules: Iterable[RuleResult]) -> list[dict]:
         out = []
@@ -103,7 +84,7 @@ class JsonReporter(Reporter):
             out.append(row | ({"error_message": r.error_message} if r.error_message else {}))
         return out
 
-    def on_table_result(self, result: ValidationResult) -> None:
+    def result(self, result: ValidationResult) -> None:
         table: dict = {"name": result.table_name, "n_rows": result.total_rows, "pass": result.passed}
         if not self.brief:
             table["columns"] = [{"name": n, "rules": self._rules(rs)} for n, rs in result.columns.items()]
@@ -114,7 +95,7 @@ class JsonReporter(Reporter):
     def to_json(self) -> str:
         return json.dumps({"version": VERSION, "timestamp": f"{self.now:%Y-%m-%d %H:%M:%S}", "tables": self.tables}, indent=2)
 
-    def on_complete(self, passed: int, failed: int) -> None:
+    def end(self, passed: int, failed: int) -> None:
         self.written = target_path(self.path or ".", f"validation_{self.now:%Y%m%d-%H%M%S}.json")
         self.written.write_text(self.to_json())
 

@@ -12,15 +12,14 @@ class Source:
     """Rows of a table with what the plan must know of them.
 
     ``text``: every column is text that has to be cast.  ``placed`` is the frame with
-    the columns of ``block`` and ``position``, which give the file order: blocks sort as
-    they follow each other, positions inside a block.  Only the order pass reads it.
+    the columns of ``block``, which give the file order: a task reads the rows of a
+    block in order, and blocks sort as they follow each other.  Only the order pass reads it.
     """
 
     frame: DataFrame
     text: bool
     placed: DataFrame | None = None
     block: list[Column] = field(default_factory=list)
-    position: list[Column] = field(default_factory=list)
 
     @property
     def ordered(self) -> bool:

@@ -8,6 +8,8 @@ pruning in the parser is off for this read.  Quoted line breaks need
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,6 @@ from pyspark.sql import types as T
 from assayer.errors import SourceError
 from assayer.sources.base import Source
 
-PLACE = "_assayer_place"
-
 
 def header(spark: SparkSession, path: str) -> list[str]:
     """Names in the first line of the file, or of the first file of a folder."""
@@ -26,7 +26,7 @@ def header(spark: SparkSession, path: str) -> list[str]:
         raise SourceError(f"can't read {path}: {str(e).splitlines()[0]}") from e
     if not first or not first[0].value:
         raise SourceError(f"{path} is empty")
-    return [n.strip().strip('"').lstrip("﻿") for n in first[0].value.split(",")]
+    return [n.strip() for n in next(csv.reader([first[0].value.lstrip("﻿")]))]
 
 
 def text_schema(names: list[str]) -> T.StructType:
@@ -40,6 +40,6 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, m
         spark.read.schema(text_schema(names)).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").option("multiLine", multi_line).option("columnPruning", False).csv(path)
     )
     wanted = [n for n in names if columns is None or n in columns]
-    place = [F.col("_metadata.file_path").alias("_assayer_file"), F.col("_metadata.file_block_start").alias("_assayer_block"), F.monotonically_increasing_id().alias(PLACE)]
+    place = [F.col("_metadata.file_path").alias("_assayer_file"), F.col("_metadata.file_block_start").alias("_assayer_block")]
     columns = [F.col(f"`{n}`") for n in dict.fromkeys(wanted)]
-    return Source(frame.select(*columns), True, frame.select(*columns, *place), [F.col("_assayer_file"), F.col("_assayer_block")], [F.col(PLACE)])
+    return Source(frame.select(*columns), True, frame.select(*columns, *place), [F.col("_assayer_file"), F.col("_assayer_block")])

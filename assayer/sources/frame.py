@@ -15,5 +15,5 @@ def from_frame(df: DataFrame, text: bool = False) -> Source:
 
 def with_order(df: DataFrame, keys: list[str], values: list[Column]) -> Source:
     """The source's ordered values, for the order pass."""
-    ranged, block, position = ordered_by(df, keys, values)
-    return Source(ranged, False, ranged, block, position)
+    ranged, block = ordered_by(df, keys, values)
+    return Source(ranged, False, ranged, block)

@@ -112,11 +112,3 @@ class TableSpec:
 
     def column(self, name: str) -> ColumnSpec | None:
         return next((c for c in self.columns if c.name == name), None)
-
-    def column_types(self) -> dict[str, T.DataType]:
-        """Spark's type of each declared column."""
-        return {c.name: SPARK_TYPES[c.kind] for c in self.columns}
-
-    def columns_with_statistics(self) -> list[str]:
-        """Columns whose rules need moments."""
-        return [c.name for c in self.columns if c.of(STATISTICAL)]

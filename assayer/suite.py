@@ -6,7 +6,7 @@ count of violations on its own, so it shares nothing with the engine.
 
 from __future__ import annotations
 
-import datetime as dt
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from assayer.builders import ColumnBuilder, RelationBuilder, date_column, float_column, integer_column, relation, string_column
 from assayer.operators.moments import profile
+from assayer.report import JsonReporter
 from assayer.results import CAST_FAILURE
-from assayer.tables import FrameTable, ParquetTable
-
-#: One day for both sides of a query that asks for today.
-TODAY = dt.date.today()
-
+from assayer.shipping import shared_folder
+from assayer.sources.sizing import SplitSize
+from assayer.tables import CsvTable, FrameTable, ParquetTable, Validator
 
 @dataclass
 class Count:
@@ -45,16 +44,28 @@ class Case:
     text: bool = False
     order_by: list[str] | None = None
     compat: bool = False
+    files: str | None = None  # "csv" or "parquet": the selected columns are written to such files first
+    written_by: list[str] | None = None  # columns that order what is written
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{sf_dir}/{self.table}.parquet"
         if self.select is None:
             table = ParquetTable(path, self.table, spark, self.order_by, self.compat)
         else:
-            frame = spark.read.parquet(path).selectExpr(*(f"{e} AS `{n}`" for n, e in self.select.items()))
-            table = FrameTable(frame, self.table, self.order_by, self.compat, self.text)
+            rows = spark.read.parquet(path)
+            rows = rows.orderBy(*self.written_by) if self.written_by else rows
+            frame = rows.selectExpr(*(f"{e} AS `{n}`" for n, e in self.select.items()))
+            table = self._from_files(frame) if self.files else FrameTable(frame, self.table, self.order_by, self.compat, self.text)
         return table.prepare(self.columns(), self.relations()).results()
 
+    def _from_files(self, frame: DataFrame) -> CsvTable | ParquetTable:
+        folder = shared_folder(frame.sparkSession, f"{self.table}.{self.files}") + f"/{self.table}.{self.files}"
+        if self.files == "csv":
+            frame.write.option("header", True).option("emptyValue", "").csv(folder)
+            return CsvTable(folder, self.table, frame.sparkSession, self.order_by, self.compat, split=SplitSize())
+        frame.write.parquet(folder)
+        return ParquetTable(folder, self.table, frame.sparkSession, self.order_by, self.compat)
+
     def sql(self) -> str:
         source = self.source or f"SELECT * FROM {self.table}"
         rows = ", ".join(f"{c.errors} AS e{i}" for i, c in enumerate(self.counts))
@@ -153,8 +164,8 @@ CASES: dict[str, Case] = dict(
         date_case("date_after", lambda c: c.is_after(1994), "IsAfter", "d <= DATE '1994-01-01'"),
         date_case("date_weekday", lambda c: c.is_weekday(), "IsWeekday", "isodow(d) >= 6"),
         date_case("date_weekend", lambda c: c.is_weekend(), "IsWeekend", "isodow(d) < 6"),
-        date_case("date_not_futur", lambda c: c.is_not_futur(), "IsNotFutur", f"d >= DATE '{TODAY}'"),
-        date_case("date_not_past", lambda c: c.is_not_past(), "IsNotPast", f"d <= DATE '{TODAY}'"),
+        date_case("date_not_futur", lambda c: c.is_not_futur(), "IsNotFutur", "d >= current_date"),
+        date_case("date_not_past", lambda c: c.is_not_past(), "IsNotPast", "d <= current_date"),
     ]
 ) | _date_relations()
 
@@ -229,6 +240,85 @@ CASES |= {
     "custom_rule": Case("documents", lambda: [string_column("text").custom("TooManyLines", lambda c: F.size(F.split(c, "\n")) > 20)], [Count("text", "TooManyLines", when("len(string_split(text, chr(10))) > 20"))]),
 }
 
+CASES |= {
+    "csv_scan": Case(
+        "customer", lambda: [integer_column("c_custkey").is_positive().is_unique(), string_column("c_name").with_length_between(5, 18), float_column("c_acctbal").between(-500, 9000), string_column("c_mktsegment").is_in(["BUILDING", "MACHINERY"]).is_not_null()],
+        [
+            Count("c_custkey", "TypeCheck", "0"), Count("c_custkey", "IsPositive", when("c_custkey < 1")), Count("c_custkey", "Unicity", "count(c_custkey) - count(DISTINCT c_custkey)"), Count("c_name", "TypeCheck", "0"),
+            Count("c_name", "WithLengthBetween", when("strlen(c_name) < 5 OR strlen(c_name) > 18")), Count("c_acctbal", "TypeCheck", "0"), Count("c_acctbal", "Between", when("c_acctbal < -500 OR c_acctbal > 9000")),
+            Count("c_mktsegment", "TypeCheck", "0"), Count("c_mktsegment", "IsIn", when("c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")), Count("c_mktsegment", "NullCheck", when("c_mktsegment IS NULL")),
+        ],
+        select={c: c for c in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")}, files="csv",
+    ),
+    "csv_projection": Case("lineitem", lambda: [float_column("l_quantity").max(40)], [Count("l_quantity", "TypeCheck", "0"), Count("l_quantity", "Max", when("l_quantity > 40"))], select={c: c for c in ("l_orderkey", "l_linenumber", "l_quantity")}, files="csv"),
+    "csv_type_check": Case(
+        "orders", lambda: [integer_column("a").with_type_threshold(60).min(500), float_column("b").with_type_threshold(50), date_column("d", "%d.%m.%Y").is_weekday(40)],
+        [
+            Count("a", "TypeCheck", when("a IS NOT NULL AND NOT regexp_matches(a, '^[0-9]+$')"), 60.0), Count("a", "Min", when("try_cast(a AS BIGINT) < 500")), Count("b", "TypeCheck", when("b LIKE '%d'"), 50.0),
+            Count("d", "TypeCheck", "0"), Count("d", "IsWeekday", when("isodow(d) >= 6"), 40.0),
+        ],
+        select={"a": "CASE WHEN o_orderkey % 4 = 0 THEN concat(o_custkey, 'x') WHEN o_orderkey % 4 = 1 THEN NULL ELSE cast(o_custkey AS string) END", "b": "concat(o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN '.5d' ELSE '.5' END)", "d": "date_format(o_orderdate, 'dd.MM.yyyy')"},
+        source="SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_custkey || 'x' WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_custkey::VARCHAR END AS a, o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '.5d' ELSE '.5' END AS b, o_orderdate::DATE AS d FROM orders", files="csv",
+    ),
+    "csv_increasing": Case(
+        "events", lambda: [float_column("value").is_monotonically_increasing(60).is_monotonically_decreasing(60)], [Count("value", "TypeCheck", "0"), Count("value", "IsIncreasing", when("value < before"), 60.0), Count("value", "IsDecreasing", when("value > before"), 60.0)],
+        select={"value": "value"}, files="csv", written_by=["event_id"], source="SELECT value, lag(value) OVER (ORDER BY event_id) AS before FROM events",
+    ),
+    "parquet_increasing_file_order": Case(
+        "orders", lambda: [integer_column("o_custkey").is_monotonically_increasing(), float_column("o_totalprice").is_monotonically_decreasing()],
+        [Count("o_custkey", "IsIncreasing", when("o_custkey < came")), Count("o_totalprice", "IsDecreasing", when("o_totalprice > before"))],
+        select={"o_custkey": "o_custkey", "o_totalprice": "o_totalprice"}, files="parquet", written_by=["o_orderkey"],
+        source="SELECT o_totalprice, o_custkey, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS before, lag(o_custkey) OVER (ORDER BY o_orderkey) AS came FROM orders",
+    ),
+    "gen_type_check_date_yy": Case(
+        "orders", lambda: [date_column("x", "%d/%m/%y").is_after(1994, 6, 15)], [Count("x", "TypeCheck", "0"), Count("x", "IsAfter", when("x <= DATE '1994-06-15'"))],
+        select={"x": "date_format(o_orderdate, 'dd/MM/yy')"}, source="SELECT o_orderdate::DATE AS x FROM orders", text=True,
+    ),
+    "gen_type_check_date_weekday": Case(
+        "orders", lambda: [date_column("x", "%a, %d %b %Y").with_type_threshold(40).is_weekday()],
+        [Count("x", "TypeCheck", when("wrong"), 40.0), Count("x", "IsWeekday", when("NOT wrong AND isodow(x) >= 6"))],
+        select={"x": "concat(CASE WHEN o_orderkey % 3 = 0 THEN date_format(date_add(o_orderdate, 1), 'EEE') ELSE date_format(o_orderdate, 'EEE') END, date_format(o_orderdate, ', dd MMM yyyy'))"},
+        source="SELECT o_orderdate::DATE AS x, o_orderkey % 3 = 0 AS wrong FROM orders", text=True,
+    ),
+}
+
+
+def json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the JSON document on lineitem and orders, a row for each."""
+    report = JsonReporter()
+    for name, column in (("lineitem", "l_quantity"), ("orders", "o_totalprice")):
+        table = ParquetTable(f"{sf_dir}/{name}.parquet", name, spark).prepare([float_column(column).between(5, 45, 20).is_not_null()])
+        report.tell("result", result=table.validate())
+    rows = [(t["name"], t["n_rows"], t["pass"], c["name"], r["name"], r["errors"], r["error_percent"], float(r["threshold"]), r["pass"]) for t in json.loads(report.to_json())["tables"] for c in t["columns"] for r in c["rules"]]
+    return spark.createDataFrame(rows, "table_name string, n_rows long, table_pass boolean, target string, rule_name string, errors long, error_percent double, threshold double, pass boolean")
+
+
+def tables_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that passed and that failed, of a run over several."""
+    run = Validator()
+    for name, column, bound in (("orders", "o_totalprice", 0), ("customer", "c_acctbal", 0), ("part", "p_size", 1)):
+        run.add_table(ParquetTable(f"{sf_dir}/{name}.parquet", name, spark).prepare([(integer_column if name == "part" else float_column)(column).min(bound)]))
+    results = run.validate_all()
+    return spark.createDataFrame([(sum(r.passed for r in results), sum(not r.passed for r in results))], "passed long, failed long")
+
+
+def _json_sql() -> str:
+    parts = []
+    for name, column in (("lineitem", "l_quantity"), ("orders", "o_totalprice")):
+        counted = f"SELECT count(*) AS n, {when(f'{column} < 5 OR {column} > 45')} AS e0, {when(f'{column} IS NULL')} AS e1 FROM {name}"
+        for i, (rule, threshold) in enumerate((("Between", 20), ("NullCheck", 0))):
+            parts.append(
+                f"SELECT '{name}' AS table_name, n AS n_rows, 100.0::DOUBLE * e0 / n <= 20 AND e1 = 0 AS table_pass, '{column}' AS target, '{rule}' AS rule_name, e{i}::BIGINT AS errors, "
+                f"100.0::DOUBLE * e{i} / n AS error_percent, {threshold}::DOUBLE AS threshold, 100.0::DOUBLE * e{i} / n <= {threshold} AS pass FROM ({counted})"
+            )
+    return " UNION ALL ".join(parts)
+
+
+SUMMARY_SQL = """
+WITH t AS (SELECT min(o_totalprice) >= 0 AS good FROM orders UNION ALL SELECT min(c_acctbal) >= 0 FROM customer UNION ALL SELECT min(p_size) >= 1 FROM part)
+SELECT count(*) FILTER (WHERE good) AS passed, count(*) FILTER (WHERE NOT good) AS failed FROM t
+"""
+
 
 def profile_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_linenumber"])
@@ -246,5 +336,5 @@ PROFILE_SQL = " UNION ALL ".join(
 )
 STATUS_SQL = f"SELECT table_name, count(*) FILTER (WHERE kind = 'column' AND passed) AS passed_rules, count(*) FILTER (WHERE kind = 'column') AS rules, count(*) FILTER (WHERE kind = 'column' AND NOT passed) = 0 AS passed FROM ({CASES['whole_table'].sql()}) GROUP BY table_name"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: c.run for n, c in CASES.items()} | {"profile_moments": profile_moments, "table_status": table_status}
-SQL: dict[str, str] = {n: c.sql() for n, c in CASES.items()} | {"profile_moments": PROFILE_SQL, "table_status": STATUS_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: c.run for n, c in CASES.items()} | {"profile_moments": profile_moments, "table_status": table_status, "json_result": json_result, "tables_summary": tables_summary}
+SQL: dict[str, str] = {n: c.sql() for n, c in CASES.items()} | {"profile_moments": PROFILE_SQL, "table_status": STATUS_SQL, "json_result": _json_sql(), "tables_summary": SUMMARY_SQL}

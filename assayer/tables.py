@@ -16,6 +16,7 @@ from assayer.sources.base import Source
 from assayer.sources.csv import read_csv
 from assayer.sources.frame import from_frame
 from assayer.sources.parquet import read_parquet
+from assayer.sources.sizing import SplitSize, cut_by
 
 
 class Table:
@@ -24,10 +25,13 @@ class Table:
     ``order_by``: columns that order the rows for the monotone rules; needed where the
     source has no file order.  ``compat``: nulls enter moments as 0, narrower Parquet
     numbers are mismatches, rules of one name merge, and any rule whose errors equal
-    the number of values gets the cast failure's message.
+    the number of values gets the cast failure's message.  ``split``: how large the pieces
+    of files are that tasks read; Spark's own setting if none.
     """
 
     typed_text = False
+    path = ""
+    split: SplitSize | None = None
 
     def __init__(self, name: str, spark: SparkSession | None = None, order_by: list[str] | None = None, compat: bool = False):
         self.name, self._spark, self.order_by, self.compat = name, spark, order_by, compat
@@ -50,7 +54,8 @@ class Table:
         raise NotImplementedError
 
     def validate(self) -> ValidationResult:
-        return execute(bind(self.spec, self.source(), self.compat), self.order_by, self.compat)
+        with cut_by(self.spark, self.path, self.split):
+            return execute(bind(self.spec, self.source(), self.compat), self.order_by, self.compat)
 
     def results(self) -> DataFrame:
         """Results as a DataFrame, a row for each rule."""
@@ -72,18 +77,18 @@ class Table:
 class CsvTable(Table):
     typed_text = True
 
-    def __init__(self, path: str, name: str, spark: SparkSession | None = None, order_by: list[str] | None = None, compat: bool = False, multi_line: bool = False):
+    def __init__(self, path: str, name: str, spark: SparkSession | None = None, order_by: list[str] | None = None, compat: bool = False, multi_line: bool = False, split: SplitSize | None = None):
         super().__init__(name, spark, order_by, compat)
-        self.path, self.multi_line = path, multi_line
+        self.path, self.multi_line, self.split = path, multi_line, split
 
     def source(self) -> Source:
         return read_csv(self.spark, self.path, self._wanted(), self.multi_line)
 
 
 class ParquetTable(Table):
-    def __init__(self, path: str, name: str, spark: SparkSession | None = None, order_by: list[str] | None = None, compat: bool = False):
+    def __init__(self, path: str, name: str, spark: SparkSession | None = None, order_by: list[str] | None = None, compat: bool = False, split: SplitSize | None = None):
         super().__init__(name, spark, order_by, compat)
-        self.path = path
+        self.path, self.split = path, split
 
     def source(self) -> Source:
         return read_parquet(self.spark, self.path, self._wanted())

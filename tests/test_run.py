@@ -98,7 +98,7 @@ def test_command_line(spark, files, tmp_path, capsys):
     config, data = files
     assert cli.main(["-c", str(config)], spark) == 1
     said = capsys.readouterr().out
-    assert "FAILED: 1/8 rules valid" in said and "Between ....................... " in said and "(33.33%) FAIL" in said and "Result: 1 failed, 0 passed" in said
+    assert "== products: not ok, " in said and " of 8 rules hold on 3 rows" in said and "- Between: 1 errors, 33.33 % (allowed 30 %)" in said and "Tables: 0 ok, 1 not ok" in said
     assert cli.main(["-c", str(config), "-o", "json", "-p", str(tmp_path / "out" / "r.json")], spark) == 1
     document = json.loads((tmp_path / "out" / "r.json").read_text())
     table = document["tables"][0]
@@ -116,8 +116,10 @@ def test_reports(tmp_path):
     assert target_path(str(tmp_path), "v.json") == tmp_path / "v.json"
     assert target_path(str(tmp_path / "a" / "b.json"), "v.json") == tmp_path / "a" / "b.json" and (tmp_path / "a").is_dir()
     out = io.StringIO()
-    ConsoleReporter(out=out).on_complete(2, 1)
-    assert "Result: 1 failed, 2 passed" in out.getvalue()
+    reporter = ConsoleReporter(out=out)
+    reporter.tell("end", passed=2, failed=1)
+    reporter.tell("a step that it doesn't know")
+    assert out.getvalue() == "Tables: 2 ok, 1 not ok\n"
 
 
 def test_watch(tmp_path):
@@ -143,11 +145,11 @@ def test_arriving_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "1.csv").write_text("id,s\n1,a\nx,\n")
-    table = TableSpec("arriving", (integer_column("id").min(2).build(), string_column("s").is_not_null().build()))
+    table = TableSpec("arriving", (integer_column("id").min(2).is_unique().build(), string_column("s").is_not_null().build()))
     files = ArrivingFiles(table, str(folder), str(tmp_path / "state"), text=True)
     files.start(spark).awaitTermination()
     (folder / "2.csv").write_text("id,s\n1,b\n5,c\n")
     files.start(spark).awaitTermination()
     result = files.result(spark)
     assert result.total_rows == 4
-    assert {(c, r.rule_name): r.error_count for c, rs in result.columns.items() for r in rs} == {("id", "TypeCheck"): 1, ("id", "Min"): 2, ("s", "TypeCheck"): 0, ("s", "NullCheck"): 1}
+    assert {(c, r.rule_name): r.error_count for c, rs in result.columns.items() for r in rs} == {("id", "TypeCheck"): 1, ("id", "Min"): 2, ("id", "Unicity"): 1, ("s", "TypeCheck"): 0, ("s", "NullCheck"): 1}

@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer import CsvTable, FrameTable, ParquetTable, Validator, date_column, float_column, integer_column, relation, string_column
 from assayer.errors import ColumnNotFound, PatternError, RuleTypeError, SourceError, TableNotFound, UnknownFormat
-from assayer.functions.dates import date_pattern
+from assayer.functions.dates import date_pattern, parse_date
 from assayer.operators.moments import profile
+from assayer.operators.order import count_breaks, ordered_by
 from assayer.sources.formats import format_of
 
 
@@ -122,13 +124,49 @@ def test_formats():
         date_pattern("%Q")
 
 
-def test_small_helpers():
-    from assayer.sources.sizing import MB, SplitSize
-    from assayer.spec import TableSpec
+def test_pieces_of_files(spark, tmp_path):
+    from assayer.sources.sizing import MB, SETTING, SplitSize
 
-    table = TableSpec("t", (integer_column("a").std_dev_check(1).build(), date_column("b", "%Y").build()))
-    assert table.columns_with_statistics() == ["a"] and [t.simpleString() for t in table.column_types().values()] == ["bigint", "date"]
     assert date_column("b", "%Y").get_format() == "%Y"
     assert [SplitSize().bytes_for(n * MB, 8) for n in (1, 400, 10_000)] == [MB, 10 * MB, 100 * MB]
     with pytest.raises(ValueError):
         SplitSize(least=2, most=1)
+    path = tmp_path / "a.csv"
+    path.write_text("x\n" + "".join(f"{i}\n" for i in range(20_000)))
+    before = spark.conf.get(SETTING)
+    table = CsvTable(str(path), "t", spark, split=SplitSize(least=1000, per_core=9)).prepare([integer_column("x").is_monotonically_increasing().max(19_998)])
+    result = table.validate()
+    assert [(r.rule_name, r.error_count) for r in result.columns["x"]] == [("TypeCheck", 0), ("IsIncreasing", 0), ("Max", 1)]
+    assert spark.conf.get(SETTING) == before
+
+
+def test_dates(spark):
+    rows = [("31/12/99", "%d/%m/%y", "1999-12-31"), ("31/12/69", "%d/%m/%y", "2069-12-31"), ("29/02/72", "%d/%m/%y", "1972-02-29"), ("Fri, 01 Mar 2024", "%a, %d %b %Y", "2024-03-01"), ("FRI, 01 Mar 2024", "%a, %d %b %Y", "2024-03-01"),
+            ("Mon, 01 Mar 2024", "%a, %d %b %Y", None), ("Friday 1 March 2024", "%A %d %B %Y", "2024-03-01"), ("Fri 1 March 2024", "%A %d %B %Y", "2024-03-01"), ("Friday, 01 Mar 2024", "%a, %d %b %Y", None), ("x", "%a %d/%m/%y", None), (None, "%A %F", None)]
+    for text, form, want in rows:
+        got = spark.createDataFrame([(text,)], "x string").select(parse_date(F.col("x"), form).cast("string")).first()[0]
+        assert got == want, (text, form)
+
+
+def test_a_quoted_name_with_a_comma(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a, b",c\n1,2\n')
+    result = CsvTable(str(tmp_path / "q.csv"), "q", spark).prepare([integer_column("a, b").min(1)]).validate()
+    assert [r.error_count for r in result.columns["a, b"]] == [0, 0]
+
+
+def test_unique_text_of_any_length(spark):
+    long = "x" * 100
+    df = spark.createDataFrame([(v,) for v in (long, long, long + "y", "a", "a", "", "", None, "é" * 16, "é" * 16)], "s string")
+    assert FrameTable(df, "t").prepare([string_column("s").is_unique()]).validate().columns["s"][0].error_count == 4
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 7])
+def test_order_over_many_stretches(spark, pieces):
+    values = [1.0, 2.0, None, 1.0, float("nan"), 5.0, float("inf"), float("nan"), float("nan"), None, None, 3.0, 3.0, 2.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    up = lambda a, b: a is not None and b is not None and ((b < a) or (a != a and b == b))
+    down = lambda a, b: a is not None and b is not None and ((b > a) or (b != b and a == a))
+    plan, block = ordered_by(df, ["i"], [F.col("v")], pieces)
+    row = count_breaks(plan, [("is_increasing", F.col("value_0")), ("is_decreasing", F.col("value_0"))], block).first()
+    pairs = [*zip(values, values[1:])]
+    assert (row.errors_0, row.errors_1) == (sum(up(*p) for p in pairs), sum(down(*p) for p in pairs))
