@@ -33,7 +33,52 @@ def test_pruned_search_is_exact():
         scores = v[::7] @ v.T
         for a, q in enumerate(ids[::7]):
             want = sorted(((-s, i) for s, i in zip(scores[a].tolist(), ids.tolist()) if i != q))[:5]
-            assert [(-s, i) for qq, i, s in got if qq == q] == want
+            assert sorted((-s, i) for qq, i, s in got if qq == q) == want
+
+
+def exact_share(vectors, queries=200, k=5):
+    """The part of all pairs that gets an exact product, with floors as in a cell."""
+    ids, tally = np.arange(len(vectors)), [0]
+    asked = np.arange(0, len(vectors), max(1, len(vectors) // queries))
+    longest = np.argsort(-(vectors.astype(float) ** 2).sum(1))[:256]
+    floors = []
+    for q in asked:
+        scores = np.sort(vectors[longest[longest != q]] @ vectors[q])
+        floors.append(float(scores[-k]))
+    search(ids[asked], vectors[asked], ids, vectors, k, np.array(floors), tally)
+    return tally[0] / (len(asked) * len(vectors))
+
+
+def test_how_much_the_bounds_prune():
+    r = np.random.default_rng(5)
+    turn = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    unit = r.normal(size=(6000, 64))
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    low_rank = r.normal(size=(6000, 64)) * 0.8 ** np.arange(64) @ turn
+    low_rank /= np.sqrt((low_rank**2).sum(1))[:, None]
+
+    def whole(x):
+        return np.floor(256 * x).astype(np.int64)
+
+    assert exact_share(whole(8 * unit * np.exp(r.normal(size=(6000, 1))))) < 0.05  # lengths of their own
+    assert exact_share(whole(8 * low_rank)) < 0.25  # one length, but few directions matter
+    assert exact_share(whole(8 * unit)) < 0.6  # neither: only steps near the last coordinate tell
+
+
+def test_large_components_and_repeated_ids():
+    r = np.random.default_rng(6)
+    v = r.integers(-1000, 1000, size=(300, 8)).astype(np.int64)
+    v[7] = 1 << 40
+    v[250] = -(1 << 61)
+    ids = np.r_[np.arange(200), np.arange(100)].astype(np.int64)
+    rows = search(ids[:9], v[:9], ids, v, 4)
+    for q in range(9):
+        best = {}
+        for i, x in zip(ids.tolist(), v.astype(object)):
+            if i != q:
+                best[i] = max(best.get(i, -(2**63)), max(-(2**63), min(2**63 - 1, int(np.dot(v[q].astype(object), x)))))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert sorted([(i, s) for a, i, s in rows if a == q], key=lambda x: (-x[1], x[0])) == want
 
 
 def test_frame(spark):
