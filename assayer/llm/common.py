@@ -3,37 +3,21 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.shipping import shared_folder, ship
+
 #: Rows and payload bytes of one slice that a Python function sees at a time.
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
 #: A key with at least this share of a table's rows, so at most 1/HEAVY keys, is joined by a broadcast.
 HEAVY, HEAVY_LEAST = 1 / 1024, 256
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package through Spark's own file server, once a context."""
-    context = spark.sparkContext
-    if getattr(context, "_assayer_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="assayer-"), "assayer.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(top.rglob("*.py")):
-            out.write(path, path.relative_to(top.parent))
-    context.addPyFile(archive)
-    context._assayer_shipped = True
+#: Up to so many narrow rows are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +32,6 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def release() -> None:
     """Give freed memory back to the system, so that a reused worker doesn't keep a task's peak."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -80,24 +63,9 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(releasing(run), schema)
 
 
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Without one, a session on one machine gets a temporary folder; on a cluster,
-    where executors could not see it, that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = Path(tempfile.mkdtemp(prefix="assayer-work-")).as_uri()
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, what)
+    path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._kept_at = path
@@ -111,13 +79,17 @@ def discard(kept: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner", narrow: bool = True) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key; ``how`` is inner or left.
 
-    Rows of ``left`` whose key is heavy, or null, meet a broadcast of those rows of ``right``, at most
-    1/HEAVY of them; the others meet by a shuffle.  So no key fills a task.
-    ``left`` is read twice and should be a kept table.
+    A narrow ``right`` of at most BROADCAST_ROWS rows is broadcast.  Else rows of ``left`` whose key
+    is heavy, or null, meet a broadcast of those rows of ``right``, at most 1/HEAVY of them; the others
+    meet by a shuffle.  So no key fills a task.
     """
+    right = right if hasattr(right, "_kept_at") or not narrow else keep(right, "right")
+    if narrow and right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    left = left if hasattr(left, "_kept_at") else keep(left, "left")
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     bound = max(HEAVY_LEAST, HEAVY * left.count())
     heavy = [r[0] for r in counts.where(F.col("rows") >= bound).select(key).collect()]

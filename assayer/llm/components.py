@@ -46,36 +46,35 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _forest(held)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def _shrunk(edges: DataFrame) -> DataFrame:
+    return keep(edges.mapInArrow(releasing(_contract), "hi long, lo long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without links are absent.
 
-    ``links`` has the long columns ``a`` and ``b``.  Tasks first shrink their own links
-    to forests; then large-star and small-star steps alternate until nothing
-    changes.  A node that is the least of its neighbourhood keeps its edges in
-    a large-star step, so only the others, rarely hubs, are joined, and heavy
-    ones by a broadcast of a bounded number of them.  Every round is written to
-    the shared folder, so a lost executor costs one round at most, and replaces the one before.
+    ``links`` has the long columns ``a`` and ``b``.  Large-star and small-star steps alternate
+    until every node has but one smaller neighbour, which has none.  Before the first and after
+    every round tasks shrink their own links to forests, so a node then has at most one smaller
+    neighbour from each task.  Larger neighbours may be many; a node that is the least of its
+    neighbourhood keeps them, and only the others are joined, by ``attach``.  Every round is
+    written to the shared folder, so a lost executor costs one round at most, and replaces the one before.
     """
     ship(links.sparkSession)
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    edges = keep(edges.mapInArrow(releasing(_contract), "hi long, lo long").distinct(), "links")
-    state = _state(edges)
+    edges = _shrunk(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
     while True:
-        both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy(F.col("u").alias("lo")).agg(F.min("v").alias("m")).where("m < lo")
+        both = edges.union(edges.select("lo", "hi")).toDF("lo", "v")
+        smaller = F.when(F.col("v") < F.col("lo"), F.col("v"))
+        nodes = keep(both.groupBy("lo").agg(F.min(smaller).alias("m"), F.max(smaller).alias("last"), F.max("v").alias("largest")), "nodes")
+        if not nodes.where("m < last or (m is not null and largest > lo)").limit(1).count():
+            discard(nodes)
+            roots = edges.select(F.col("lo").alias("node")).distinct()
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).distinct().union(roots.select("node", F.col("node").alias("component")))
+        least = keep(nodes.where("m is not null and largest > lo").select("lo", "m"), "least")
         large = attach(edges, least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        large = keep(large.distinct(), "links")
         # Smaller neighbours of a node other than the least one move to that.
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("smaller"))
-        moved = attach(large, lowest.where("smaller > 1").select("hi", "m"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        old, edges = edges, keep(moved.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "links")
-        discard(large)
-        discard(old)
-        before, state = state, _state(edges)
-        if state == before:
-            roots = edges.select(F.col("lo").alias("node")).distinct()
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.collect_set("lo").alias("los"))
+        moved = small.select(F.explode(F.concat(F.filter("los", lambda x: x != F.col("m")), F.array("hi"))).alias("hi"), F.col("m").alias("lo"))
+        old, edges = edges, _shrunk(moved)
+        for table in (old, nodes, least):
+            discard(table)

@@ -55,7 +55,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import attach, discard, keep, map_slices, releasing, ship, slices
+from assayer.llm.common import BROADCAST_ROWS, attach, discard, keep, map_slices, releasing, ship, slices
 from assayer.llm.components import components
 from assayer.llm.shingles import shingle_sets
 
@@ -66,7 +66,7 @@ KEPT_NUM, KEPT_DEN = 2, 5
 #: Hashes that a task holds while it counts or packs them.
 BLOCK = 1_000_000
 #: Dealt shingles meant for one bucket, and sets and buckets meant for one sum over buckets.
-DEALT, SUMMED = 2_000_000, 1_000_000
+DEALT, SUMMED = 2_000_000, 100_000
 #: A shingle in at least this share of the documents comes last in the order; at most 1/HOT_SHARE times the mean set size can be.
 HOT_SHARE = 1 / 2000
 HOT_LEAST = 24
@@ -76,10 +76,8 @@ BUCKET = 400_000
 SPLIT = 1_000_000
 #: Pairs that a task remembers having told already.
 REMEMBERED = 100_000
-#: Documents meant for one cell of a tile.
-CELL = 512
-#: Above so many rows, a table of ids is joined by a shuffle instead of a broadcast.
-BROADCAST_IDS = 200_000
+#: Sets meant for either side of a cell, and partners that share one copy of a set's array.
+CELL, PARTNERS = 256, 64
 SETS = "kind int, doc_id long, n long, digest binary, node long, shingle long, docs long"
 BIG, SMALL = 1 << 16, 64
 
@@ -230,7 +228,7 @@ SEEN = "part int, nodes binary, needs binary, counts binary"
 
 
 def _seen(parts: int):
-    """Of a bucket's sets: how many of their shingles another set has, packed by part."""
+    """Of a bucket's sets: how many of their shingles another set has, packed by part; those with none only where none is needed."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         nodes, needs, counts, keys = (np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]) for name, kind in (("nodes", np.int64), ("needs", np.int32), ("counts", np.uint32), ("keys", np.uint32)))
@@ -244,6 +242,8 @@ def _seen(parts: int):
         _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
         shared = np.bincount(owner[times[at] > 1], minlength=len(names)).astype(np.uint32)
         needs = needs[first]
+        told = (shared > 0) | (needs <= 0)
+        names, needs, shared = names[told], needs[told], shared[told]
         part = (names % parts).astype(np.int64)
         out = [[], [], [], []]
         for p in np.unique(part).tolist():
@@ -433,12 +433,19 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 
 def _checked(small: DataFrame) -> DataFrame:
     """Broadcast if it is small enough; else joined by a shuffle."""
-    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def renamed(kept: DataFrame, *names: str) -> DataFrame:
+    """A kept table with other column names, which is still one."""
+    out = kept.toDF(*names)
+    out._kept_at = kept._kept_at
+    return out
 
 
 def _of_pair(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Adds n and bitmap of both sides; ``a`` may be hot."""
-    pairs = attach(pairs, arrays.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a")), "a")
+    pairs = attach(pairs, arrays.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a")), "a", narrow=False)
     return pairs.join(arrays.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bitmap_b")), "b")
 
 
@@ -460,12 +467,13 @@ def _intersect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Links among distinct kept pairs a, b, by exact intersection.
 
-    A cell is a set with at most about CELL partners; it gets each array once.
+    A cell is a set with at most about PARTNERS partners; it gets each array once.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    cells = attach(pairs, parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
-    cells = keep(cells.union(cells.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct()), "cells")
-    rows = _checked(cells).join(arrays.select("node", "hashes"), "node").select("a", "part", "role", "node", "hashes")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")).where("parts > 1")
+    cells = attach(pairs, many, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    cells = cells.union(cells.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct())
+    cells = F.broadcast(cells) if pairs.count() <= BROADCAST_ROWS // 2 else cells
+    rows = cells.join(arrays.select("node", "hashes"), "node").select("a", "part", "role", "node", "hashes")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(releasing(_intersect), "a long, b long")
 
 
@@ -599,7 +607,7 @@ def _cut(rows: DataFrame, comps: DataFrame, group: str) -> DataFrame:
     Sets outside the group's largest component (role 0) meet all sets (role 1) once; both
     sides are cut into parts of about CELL sets.
     """
-    rows = rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = attach(rows, comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = keep(rows.select(group, "node", "component"), "grouped")
     parts = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("sets"))
     parts = parts.groupBy(group).agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.sum("sets").alias("all"), F.max("sets").alias("most"))
@@ -661,12 +669,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share.destroy()
 
     # Documents with equal sets, and of linked sets, are linked with the first of each.
-    node = classes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    node = keep(classes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi"), "ends")
     for side in "ab":
-        links = keep(attach(links, node.toDF(side, f"{side}_doc"), side), "links")
+        links = attach(links, renamed(node, side, f"{side}_doc"), side)
+    links = keep(links, "links")
     for table in (arrays, chosen):
         discard(table)
-    equal = attach(solid, classes.where("docs > 1").select("digest", F.col("doc_id").alias("a")), "digest").select("a", F.col("doc_id").alias("b"))
+    several = keep(classes.where("docs > 1").select("digest", F.col("doc_id").alias("a")), "several")
+    equal = attach(solid, several, "digest").select("a", F.col("doc_id").alias("b"))
     found = components(equal.where("a <> b").union(links.select("a_doc", "b_doc")))
     return plain.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -692,8 +703,8 @@ def _links(arrays: DataFrame, share: Broadcast, splits: np.ndarray, entries: int
 
     # What still joins different components.
     pairs = tiles.where("leader <> node").select("leader", "node").distinct() if split else stars.toDF("leader", "node")
-    apart = pairs.join(first.withColumnRenamed("component", "node_in"), "node", "left")
-    apart = attach(keep(apart, "apart"), first.toDF("leader", "leader_in"), "leader", "left")
+    apart = attach(pairs, renamed(first, "node", "node_in"), "node", "left")
+    apart = attach(apart, renamed(first, "leader", "leader_in"), "leader", "left")
     apart = keep(apart.where(F.coalesce("node_in", "node") != F.coalesce("leader_in", "leader")).select("node", "leader"), "apart")
     if not apart.limit(1).count():
         return links

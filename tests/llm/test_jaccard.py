@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from assayer.llm import jaccard
+from assayer.llm import common, jaccard
 from assayer.llm.components import components
 from assayer.llm.shingles import shingle_sets, word_hashes
 
@@ -123,7 +123,22 @@ def test_odd_rows(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_chain_of_links(spark):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_chain_of_links(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "HEAVY_LEAST", 5)
     n = 200
-    links = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(1000, 1001), (7, 7)], "a long, b long")
-    assert {tuple(r) for r in components(links).collect()} == {(i, 1) for i in range(1, n + 1)} | {(1000, 1000), (1001, 1000)}
+    hub = [(5000, i) for i in range(2000, 2100)] + [(i, 6000) for i in range(2000, 2100, 3)]
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(1000, 1001), (7, 7)] + hub, "a long, b long").repartition(4)
+    want = {(i, 1) for i in range(1, n + 1)} | {(1000, 1000), (1001, 1000)} | {(i, 2000) for i in (*range(2000, 2100), 5000, 6000)}
+    assert {tuple(r) for r in components(links).collect()} == want
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HEAVY_LEAST", 5)
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(None, i) for i in range(20)] + [(2, 0), (3, 0), (4, 0)], "k long, x long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k long, y string")
+    for how, n in (("inner", 51), ("left", 73)):
+        got = common.attach(left, right, "k", how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str) and got.count() == n
