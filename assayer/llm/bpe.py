@@ -7,7 +7,8 @@ neighbouring pairs are looked up anew.  For words of a few bytes, nearly all
 of them, that touches a few adjacent array cells and needs no heap.  Above
 ``SHORT`` bytes a heap over a linked list makes the same merges in n log n.
 
-Defined cases: a null or empty text has no ids and decodes to the empty
+Defined cases: a vocabulary file with another normalizer, splitter or model is an error; texts
+and words may be of any length; a null or empty text has no ids and decodes to the empty
 string; a special token's string in a text is that token; repeated rows give
 repeated results; an empty table gives an empty table.  Only the two named
 columns are read, so further columns of any name do no harm.
@@ -29,6 +30,8 @@ from assayer.llm.common import map_slices
 
 # The split pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Settings of a model that this module doesn't know.
+ODD = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
 #: Bytes up to which the linear scan is used.
 SHORT = 128
 #: Words remembered by one worker; the memory is emptied when full.
@@ -63,7 +66,10 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, chars = spec["model"]["vocab"], _byte_chars()
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or any(model.get(k) for k in ODD):
+            raise ValueError(f"{path} is no plain byte-level BPE, which splits texts by the pattern of this module")
+        vocab, chars = model["vocab"], _byte_chars()
         back = {c: b for b, c in enumerate(chars)}
         self.byte_ids = [vocab[c] for c in chars]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}

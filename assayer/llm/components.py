@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import attach, discard, keep, releasing, ship
 
-#: Links that a task joins in its own memory before the first round.
-LOCAL = 500_000
+#: Links that a task joins in its own memory, and tasks at least: the fewer tasks, the fewer rounds.
+LOCAL, TASKS = 500_000, 8
 
 
 def _forest(links: list[np.ndarray]) -> pa.RecordBatch:
@@ -46,8 +46,9 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _forest(held)
 
 
-def _shrunk(edges: DataFrame) -> DataFrame:
-    return keep(edges.mapInArrow(releasing(_contract), "hi long, lo long"), "links")
+def _shrunk(edges: DataFrame, rows: int) -> DataFrame:
+    tasks = max(TASKS, -(-rows // LOCAL))
+    return keep(edges.coalesce(tasks).mapInArrow(releasing(_contract), "hi long, lo long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder, so a lost executor costs one round at most, and replaces the one before.
     """
     ship(links.sparkSession)
-    edges = _shrunk(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    links = links if hasattr(links, "_kept_at") else keep(links, "links")
+    edges = _shrunk(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), links.count())
     while True:
         both = edges.union(edges.select("lo", "hi")).toDF("lo", "v")
         smaller = F.when(F.col("v") < F.col("lo"), F.col("v"))
@@ -75,6 +77,6 @@ def components(links: DataFrame) -> DataFrame:
         # Smaller neighbours of a node other than the least one move to that.
         small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.collect_set("lo").alias("los"))
         moved = small.select(F.explode(F.concat(F.filter("los", lambda x: x != F.col("m")), F.array("hi"))).alias("hi"), F.col("m").alias("lo"))
-        old, edges = edges, _shrunk(moved)
+        old, edges = edges, _shrunk(moved, edges.count())
         for table in (old, nodes, least):
             discard(table)

@@ -716,15 +716,26 @@ def _links(arrays: DataFrame, share: Broadcast, splits: np.ndarray, entries: int
     whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).join(cost, "family")
     whole = keep(whole.select("family", (F.col("members").cast("double") * F.col("members") <= F.col("in_tiles")).alias("dense")), "whole")
 
-    dense = attach(families, whole.where("dense").select("family"), "family")
-    dense = _in_cells(_cut(dense, first, "family"), arrays, "family", "hashes").select("family", "i", "j", "node", "component", "role", "hashes")
-    found = dense.mapInArrow(releasing(_solve), "a long, b long")
-
-    # Sparse families: their tiles, those with equal members once.
-    loose = keep(sizes.join(_checked(whole.where("not dense").select("family")), "family", "left_semi").select("tile"), "loose")
-    members = members.join(_checked(loose), "tile", "left_semi").select("tile", "node")
-    kinds = members.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
-    kinds = keep(kinds.groupBy("sets", "sum", "xor").agg(F.min("tile").alias("tile")).select("tile"), "kinds")
-    cells = _in_cells(_cut(members.join(_checked(kinds), "tile", "left_semi"), first, "tile"), arrays, "tile", "n", "bitmap").select("tile", "i", "j", "node", "component", "n", "bitmap", "role")
-    rest = keep(cells.mapInArrow(releasing(_cells), "a long, b long").distinct(), "rest")
-    return keep(links.union(found).union(_verify(rest, arrays)), "verified")
+    found = links
+    done = [tiles, stars, first, apart, families, mixed, members, whole]
+    if whole.where("dense").limit(1).count():
+        dense = attach(families, whole.where("dense").select("family"), "family")
+        dense = _in_cells(_cut(dense, first, "family"), arrays, "family", "hashes").select("family", "i", "j", "node", "component", "role", "hashes")
+        found = keep(links.union(dense.mapInArrow(releasing(_solve), "a long, b long")), "verified")
+        done.append(links)
+    if whole.where("not dense").limit(1).count():
+        # Sparse families: their tiles, those with equal members once.
+        loose = keep(sizes.join(_checked(whole.where("not dense").select("family")), "family", "left_semi").select("tile"), "loose")
+        sparse = members.join(_checked(loose), "tile", "left_semi").select("tile", "node")
+        kinds = sparse.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
+        kinds = keep(kinds.groupBy("sets", "sum", "xor").agg(F.min("tile").alias("tile")).select("tile"), "kinds")
+        cells = _in_cells(_cut(sparse.join(_checked(kinds), "tile", "left_semi"), first, "tile"), arrays, "tile", "n", "bitmap").select("tile", "i", "j", "node", "component", "n", "bitmap", "role")
+        rest = keep(cells.mapInArrow(releasing(_cells), "a long, b long").distinct(), "rest")
+        done += [loose, kinds, rest]
+        if rest.limit(1).count():
+            done.append(found)
+            found = keep(found.union(_verify(rest, arrays)), "verified")
+    for table in done:
+        if table is not found and hasattr(table, "_kept_at"):
+            discard(table)
+    return found

@@ -18,7 +18,8 @@ hashes of 63 bits.
 With a ``size`` the vocabulary is the so many most frequent words of the corpus, all
 others are one word, and the tables hold everything.
 
-Defined cases: a null or empty text has no tokens and null losses; a corpus without
+Defined cases: texts and words may be of any length, one text at a time in memory; a null or
+empty text has no tokens and null losses; a corpus without
 words scores nothing; target texts may also be in the corpus; repeated rows count as
 often as they occur; ties between equally frequent words go to the smaller word; empty
 tables give empty tables; other columns are ignored; a task that runs again has to read its
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import keep, map_slices, ship, slices
+from assayer.llm.common import keep, map_slices, releasing, ship, slices
 
 #: Words whose bigrams are counted in broadcast tables; those of all others are counted by shuffles.
 DENSE = 2046
@@ -49,7 +50,7 @@ WEIGHT = 20.0
 #: Distinct words or bigrams that a task counts before it hands them on.
 HELD = 500_000
 #: Tokens that a task gathers before it deals them out, and tokens that one task receives.
-CHUNK, BUCKET = 2_000_000, 1_500_000
+CHUNK, BUCKET = 1_000_000, 1_000_000
 #: What a text is for: to count in the background, in the target, to be scored.
 IN_CORPUS, IN_TARGET, SCORED = 1, 2, 4
 WORDS = re.compile(r"[^\W_]+")
@@ -113,7 +114,7 @@ def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(texts: DataFrame) -> DataFrame:
     """Every word of all texts with its count."""
-    return texts.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(releasing(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _first(counted: DataFrame, size: int) -> list[str]:
@@ -152,7 +153,7 @@ def _bigrams(texts: DataFrame, ids: dict[str, int]) -> np.ndarray:
             yield out()
 
     # At most size^2 rows, whatever the corpus.
-    found = texts.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(releasing(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size * size, np.float64)
     table[np.asarray(found.column("pair"))] = np.asarray(found.column("n"))
     return table.reshape(size, size)
@@ -373,9 +374,9 @@ def _score_open(rows: DataFrame, model: Model) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A token and what divides it from the next take two characters at least, six as a rule.
     buckets = max(parts, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * BUCKET))
-    dealt = rows.mapInArrow(lambda x: _deal(x, shared.value, buckets), PIECES).repartitionById(buckets, F.col("part"))
-    counted = dealt.mapInArrow(lambda x: _count_and_score(x, shared.value), PARTS)
-    return counted.repartitionById(parts, F.pmod(F.shiftright("chunk", 32), F.lit(parts)).cast("int")).mapInArrow(_gather, SCHEMA)
+    dealt = rows.mapInArrow(releasing(lambda x: _deal(x, shared.value, buckets)), PIECES).repartitionById(buckets, F.col("part"))
+    counted = dealt.mapInArrow(releasing(lambda x: _count_and_score(x, shared.value)), PARTS)
+    return counted.repartitionById(parts, F.pmod(F.shiftright("chunk", 32), F.lit(parts)).cast("int")).mapInArrow(releasing(_gather), SCHEMA)
 
 
 def _score_closed(rows: DataFrame, model: Model) -> DataFrame:

@@ -3,8 +3,9 @@
 A sequence has ``CAPACITY`` tokens.  Lengths fall into reciprocal-capacity
 classes: class i takes pieces of floor(CAPACITY / i) tokens and fills each of
 its bins with exactly i of them, for i = 1..16 and every higher power of two.
-A document is cut greedily into the largest class lengths that fit, so a bin
-of class i lacks at most CAPACITY mod i tokens.  Every task keeps one open bin a
+Unlike plain harmonic packing, which gives a whole document the class of its length and pads
+the rest of its slot, a document is cut greedily into the largest class lengths that fit, so
+a class's bins hold a fixed number of pieces, and a bin of class i lacks at most CAPACITY mod i tokens.  Every task keeps one open bin a
 class and packs on its own: no shuffle, memory bounded by the classes.  Bins
 still open at the end of a task are cut into powers of two, which combine into
 sequences whose lengths are powers of two and need no padding.
@@ -12,7 +13,8 @@ sequences whose lengths are powers of two and need no padding.
 Ids come from the tokenizers library; a word memory holds the ids of chunks
 between white space, which that vocabulary never joins.
 
-Defined cases: a null or empty text is its end id alone; repeated rows are
+Defined cases: a null or empty text is its end id alone; a text may be of any length, one at a
+time in memory; a null id stays null; repeated rows are
 packed as often as they occur; an empty table gives an empty table; other
 columns are ignored.  Sequence ids are unique within a result; they depend on
 how the rows are dealt to tasks.

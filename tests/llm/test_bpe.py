@@ -1,4 +1,6 @@
+import json
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -44,3 +46,12 @@ def test_frame(spark, both):
     for i, text, _ in rows[1:]:
         assert out[i].ids == both[1].encode(text, add_special_tokens=False).ids and out[i].decoded == text
     assert encode_decode(df.limit(0), PATH).count() == 0
+
+
+def test_other_splitters_are_refused(tmp_path):
+    spec = json.loads(Path(PATH).read_text())
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            Codec(str(other))

@@ -1,7 +1,11 @@
+import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from assayer.llm import langid
 from assayer.llm.langid import declared_in, host_of, identify, train
 
 STEMS = {"en": ["the", "tion", "ing", "wh", "and"], "de": ["ung", "keit", "sch", "der", "ein"], "fr": ["eau", "oux", "ment", "les", "que"]}
@@ -43,3 +47,92 @@ def test_addresses_and_markup(spark):
     df = spark.createDataFrame([("https://u@WWW.Example.DE:80/x", '<!DOCTYPE html>\n<html class="a" lang=de-AT>'), ("nonsense", "<p>"), (None, None)], "url string, html string")
     got = df.select(host_of(F.col("url")), declared_in(F.col("html"))).collect()
     assert [tuple(x) for x in got] == [("www.example.de", "de"), (None, None), (None, None)]
+
+
+def by_hand(rows, model):
+    """The posterior of every row from its definition: (language, confidence, rejected) by id."""
+    langs, k = model.languages, len(model.languages)
+    seen = {}
+    for i, _, _, body, *_ in rows:
+        words = re.findall(r"[^\W\d_]+", (body or "").lower())
+        grams = [f" {w} "[j : j + 3] for w in words for j in range(len(w))]
+        logs = [sum(model.table.get(g, model.unseen)[x] for g in grams) / math.sqrt(1 + len(words) / langid.TEMPER) for x in range(k)]
+        strange = sum(g not in model.table for g in grams) / max(1, len(grams))
+        seen[i] = (logs, len(words), strange, langs[max(range(k), key=lambda x: (logs[x], -x))] if words else None)
+    vote = {r[0]: seen[r[0]][3] for r in rows}
+    out = {}
+    claims = Counter((r[2], vote[r[0]]) for r in rows if r[2] in langs and vote[r[0]])
+    for i, host, declared, *_ in rows:
+        logs, n, strange, _ = seen[i]
+
+        def share(rows_of, coarser, own=vote[i]):
+            counts = Counter(vote[r[0]] for r in rows if rows_of(r))
+            counts = [max(0, counts[x] - (own == x)) for x in langs]
+            return [(c + langid.WEIGHT * p) / (sum(counts) + langid.WEIGHT) for c, p in zip(counts, coarser)]
+
+        every = Counter(v for v in vote.values() if v)
+        p = [(every[x] + 1) / (sum(every.values()) + k) for x in langs]
+        if host is None:
+            for _level in range(3):  # no counts of its own at any level
+                p = [langid.WEIGHT * x / langid.WEIGHT for x in p]
+        else:
+            parts = host.split(".")
+            p = share(lambda r: r[1] and r[1].split(".")[-1] == parts[-1], p)
+            p = share(lambda r: r[1] and r[1].split(".")[-2:] == parts[-2:], p)
+            p = share(lambda r: r[1] == host, p)
+        said = [0.0] * k
+        if declared in langs:
+            said = [math.log((claims[declared, x] + langid.DECLARED) / (sum(claims[d, x] for d in langs) + langid.DECLARED * k)) for x in langs]
+        total = [math.log(p[x]) + said[x] + logs[x] for x in range(k)]
+        top = max(total)
+        confidence = 1 / sum(math.exp(t - top) for t in total)
+        out[i] = (langs[total.index(top)] if n else None, confidence, n == 0 or strange > langid.STRANGE or confidence < langid.LEAST)
+    return out
+
+
+def test_fusion_by_its_definition(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(160):
+        lang = r.choice([*STEMS])
+        words = text(r, lang, r.choice([1, 2, 5, 40])) if i % 9 else r.choice(["", "zz", "12 3", "qq xx", None])
+        host = r.choice([None, f"{lang}.a.example", "b.example", "c.other"])
+        rows.append((str(i), host, r.choice([lang, lang, None, "xx", "en"]), words, None, 5))
+    train_rows = spark.createDataFrame([(text(r, x, 12), x) for x in STEMS for _ in range(30)], "text string, lang string")
+    model = train(train_rows)
+    df = spark.createDataFrame(rows, "id string, host string, declared string, text string, markup string, rejected int")
+    want = by_hand(rows, model)
+    got = {x.id: x for x in identify(df, model).collect()}
+    assert len(got) == len(rows)
+    for i, (lang, confidence, rejected) in want.items():
+        assert (got[i].lang, got[i].rejected) == (lang, rejected) and abs(got[i].confidence - confidence) < 1e-9, i
+
+
+def test_the_sample_is_bounded_and_fair(spark):
+    r = random.Random(9)
+    rows = [("the same text over and over", "en")] * 400 + [(text(r, "en", 9), "en") for _ in range(300)] + [(text(r, "de", 9), "de") for _ in range(12)] + [("x y", "fr")] * 50
+    kept = []
+    real = langid.keep
+
+    def keep(df, what):
+        out = real(df, what)
+        if what == "declared" and "text" in out.columns:
+            kept.extend(tuple(x) for x in out.collect())
+        return out
+
+    langid.keep = keep
+    try:
+        model = train(spark.createDataFrame(rows, "text string, lang string"), sample=40)
+    finally:
+        langid.keep = real
+    assert model.languages == ["de", "en"]  # one text declared fifty times is no language
+    assert len(kept) == len(set(kept)) <= 80 and sum(x == "de" for _, x in kept) == 12 and 5 <= sum(x == "en" for _, x in kept) <= 45
+
+
+def test_long_words():
+    from assayer.llm.langid import GRAMS, trigrams
+
+    word = "abcdefgh" * (GRAMS // 4)
+    whole = trigrams(word)
+    assert whole == [f" {word} "[i : i + 3] for i in range(len(word))]
+    assert [g for a in range(0, len(word), GRAMS) for g in trigrams(word, a, a + GRAMS)] == whole

@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from assayer.llm.toxicity import DRIFT, MOST_SCORE, Model, _log_odds, label_part, score, segments, train
+from assayer.llm.toxicity import DRIFT, MOST_SCORE, Model, _log_odds, label_part, parent, score, segments, train, units
 
 
 def brute(values):
@@ -68,3 +69,54 @@ def test_without_labels(spark):
 def test_overwhelming_evidence_stays_finite():
     counts = {"": (10**7, 10**8, 10**4, 10**5)} | {"abcdefghijklmnop"[:k]: (10**6, 0, 9000, 0) for k in range(3, 17)}
     assert set(_log_odds(counts).values()) == {MOST_SCORE}
+
+
+def test_model_and_scores_by_their_definition(spark):
+    """Counts, log-odds, calibration and scores worked out again from the texts."""
+    r = random.Random(11)
+    plain = ["calm", "calmly", "river", "rivers", "walk", "walking", "day", "of", "internationalization", "internationalizations"]
+    docs = []
+    for i in range(240):
+        words = [r.choice(plain) for _ in range(r.randint(3, 60))]
+        for _ in range(r.randint(2, 5) if i % 4 == 0 else 0):
+            words.insert(r.randrange(len(words)), r.choice(["vile", "vileness", "internationalizedvile"]))
+        docs.append((i, " ".join(words)))
+    labels = [(i, int(i % 4 == 0)) for i, _ in docs]
+    model = train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def parts(word):
+        return [word[:k] for k in range(3, min(len(word), 16) + 1)] + [word + "$"]
+
+    n, seen = {}, {}
+    for i, t in docs:
+        for w in t.split():
+            for u in ("", *parts(w)):
+                n.setdefault(u, [0, 0])[int(i % 4 == 0)] += 1
+                seen.setdefault(u, (set(), set()))[int(i % 4 == 0)].add(i)
+    counts = {u: (n[u][1], n[u][0], len(seen[u][1]), len(seen[u][0])) for u in n if not u or len(seen[u][0] | seen[u][1]) >= 4}
+    assert model.scores == _log_odds(counts) and model.scores["vile$"] > 1 and "calm$" not in model.scores
+
+    def read(t):
+        words = t.split()
+        values = [next((model.scores[u] for u in reversed(parts(w)) if u in model.scores), 0.0) for w in words]
+        return brute([v - DRIFT for v in values]) if len(words) < 40 else segments([(k, v) for k, v in enumerate(values) if v]), len(words), values
+
+    clean = [read(t) for i, t in docs if i % 4]
+    steps = [round(v, 3) - DRIFT for _, _, values in clean for v in values]
+    if any(x > 0 for x in steps):
+        assert abs(sum(math.exp(model.decay * x) for x in steps) / len(steps) - 1) < 1e-6
+    tops = [(tokens, max((x for *_, x in found), default=0.0)) for found, tokens, _ in clean]
+    assert abs(model.scale - len(clean) / max(1.0, sum(tokens * math.exp(-model.decay * x) for tokens, x in tops))) < 1e-9
+    got = {x.doc_id: x for x in score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for i, t in docs:
+        found, tokens, _ = read(t)
+        surprise = [model.decay * x - math.log(model.scale * max(1, tokens)) for *_, x in found]
+        best = max(-20, min(60, max(surprise, default=-math.log(model.scale * max(1, tokens)))))
+        z = model.weights[0] * best + model.weights[1] * math.log1p(sum(s > -math.log(0.05) for s in surprise)) + model.weights[2]
+        assert abs(got[i].toxicity - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9 and got[i].n_tokens == tokens
+        assert len(got[i].passages) == sum(math.exp(-s) < 0.05 for s in surprise)
+
+
+def test_words_count_whole():
+    assert units("internationalizations")[-1] != units("internationalization")[-1] and parent("internationalizations$") == "internationaliz" + "a"
+    assert parent("abc$") == "abc" and parent("abcd") == "abc"
