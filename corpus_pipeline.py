@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; columns beside them are left out.
+
+Defined cases: a null or empty text, or one without letters, is rejected by the first stage
+if its row has an id; texts may be of any length.  A row with a null id can't be named by a
+rejection, so it passes the first and third stage and is judged by its own text in the second.
+Rows with the same id are one document: a rejection of one rejects all in the first
+stage, and the third keeps them all or none; repeated rows of a kept document stay.  Of near
+duplicates the smallest id stays, so there are no ties.  Documents without labels or sources are scored
+like others.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
