@@ -67,16 +67,17 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("lo", "hi")).toDF("lo", "v")
         smaller = F.when(F.col("v") < F.col("lo"), F.col("v"))
-        nodes = keep(both.groupBy("lo").agg(F.min(smaller).alias("m"), F.max(smaller).alias("last"), F.max("v").alias("largest")), "nodes")
-        if not nodes.where("m < last or (m is not null and largest > lo)").limit(1).count():
-            discard(nodes)
-            roots = edges.select(F.col("lo").alias("node")).distinct()
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).distinct().union(roots.select("node", F.col("node").alias("component")))
-        least = keep(nodes.where("m is not null and largest > lo").select("lo", "m"), "least")
+        nodes = both.groupBy("lo").agg(F.min(smaller).alias("m"), F.max(smaller).alias("last"), F.max("v").alias("largest"))
+        undone = keep(nodes.where("m < last or largest > lo and m is not null"), "nodes")
+        if not undone.count():
+            discard(undone)
+            return nodes.select(F.col("lo").alias("node"), F.coalesce("m", "lo").alias("component"))
+        least = undone.where("largest > lo").select("lo", "m")
+        least._kept_at = undone._kept_at
         large = attach(edges, least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
         # Smaller neighbours of a node other than the least one move to that.
         small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.collect_set("lo").alias("los"))
         moved = small.select(F.explode(F.concat(F.filter("los", lambda x: x != F.col("m")), F.array("hi"))).alias("hi"), F.col("m").alias("lo"))
         old, edges = edges, _shrunk(moved, edges.count())
-        for table in (old, nodes, least):
-            discard(table)
+        discard(old)
+        discard(undone)

@@ -711,13 +711,17 @@ def _links(arrays: DataFrame, share: Broadcast, splits: np.ndarray, entries: int
     families = keep(components(stars).withColumnRenamed("component", "family"), "families")
     mixed = keep(tiles.join(_checked(apart), ["node", "leader"], "left_semi").select("tile").distinct(), "mixed")
     members = keep(tiles.join(_checked(mixed), "tile", "left_semi"), "members")
-    sizes = members.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"), F.min("leader").alias("node")).join(families, "node")
+    # By tile its family, and a fingerprint of its members.
+    sizes = members.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("leader").alias("node"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")
+    )
+    sizes = keep(attach(sizes, families, "node"), "sizes")
     cost = sizes.groupBy("family").agg(F.sum(F.col("sets").cast("double") * F.col("sets")).alias("in_tiles"))
-    whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("members")).join(cost, "family")
+    whole = attach(cost, families.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family")
     whole = keep(whole.select("family", (F.col("members").cast("double") * F.col("members") <= F.col("in_tiles")).alias("dense")), "whole")
 
     found = links
-    done = [tiles, stars, first, apart, families, mixed, members, whole]
+    done = [tiles, stars, first, apart, families, mixed, members, sizes, whole]
     if whole.where("dense").limit(1).count():
         dense = attach(families, whole.where("dense").select("family"), "family")
         dense = _in_cells(_cut(dense, first, "family"), arrays, "family", "hashes").select("family", "i", "j", "node", "component", "role", "hashes")
@@ -725,13 +729,12 @@ def _links(arrays: DataFrame, share: Broadcast, splits: np.ndarray, entries: int
         done.append(links)
     if whole.where("not dense").limit(1).count():
         # Sparse families: their tiles, those with equal members once.
-        loose = keep(sizes.join(_checked(whole.where("not dense").select("family")), "family", "left_semi").select("tile"), "loose")
-        sparse = members.join(_checked(loose), "tile", "left_semi").select("tile", "node")
-        kinds = sparse.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
-        kinds = keep(kinds.groupBy("sets", "sum", "xor").agg(F.min("tile").alias("tile")).select("tile"), "kinds")
-        cells = _in_cells(_cut(sparse.join(_checked(kinds), "tile", "left_semi"), first, "tile"), arrays, "tile", "n", "bitmap").select("tile", "i", "j", "node", "component", "n", "bitmap", "role")
+        kinds = attach(sizes, whole.where("not dense").select("family"), "family").groupBy("sets", "sum", "xor").agg(F.min("tile").alias("tile"))
+        kinds = keep(kinds.select("tile"), "kinds")
+        sparse = members.join(_checked(kinds), "tile", "left_semi").select("tile", "node")
+        cells = _in_cells(_cut(sparse, first, "tile"), arrays, "tile", "n", "bitmap").select("tile", "i", "j", "node", "component", "n", "bitmap", "role")
         rest = keep(cells.mapInArrow(releasing(_cells), "a long, b long").distinct(), "rest")
-        done += [loose, kinds, rest]
+        done += [kinds, rest]
         if rest.limit(1).count():
             done.append(found)
             found = keep(found.union(_verify(rest, arrays)), "verified")
