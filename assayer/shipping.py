@@ -11,9 +11,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of a batch that Spark hands to Python: Spark's default fits numbers, not long texts, whose batches lie in memory on both sides.
+BATCH, BATCH_ROWS, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """The package through Spark's own file server, once a context."""
+    """The package through Spark's own file server, once a context; and smaller batches unless the session sets their size."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
     if getattr(context, "_assayer_shipped", False):
         return
     top = Path(__file__).resolve().parent
