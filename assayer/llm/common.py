@@ -14,6 +14,8 @@ from assayer.shipping import shared_folder, ship
 #: Rows and payload bytes of one slice that a Python function sees at a time.
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
+#: Pages of 4 KB in memory from which a worker gives back what it doesn't use.
+LARGE_PAGES = (160 << 20) >> 12
 #: A key with at least this share of a table's rows, so at most 1/HEAVY keys, is joined by a broadcast.
 HEAVY, HEAVY_LEAST = 1 / 1024, 256
 #: Up to so many narrow rows are broadcast; beyond, they are joined by a shuffle.
@@ -31,7 +33,13 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def release() -> None:
-    """Give freed memory back to the system, so that a reused worker doesn't keep a task's peak."""
+    """Give freed memory back to the system, so that a reused worker doesn't keep a large task's peak."""
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) < LARGE_PAGES:
+                return
+    except OSError:
+        pass  # no such file on this system
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

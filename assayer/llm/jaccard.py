@@ -55,7 +55,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BROADCAST_ROWS, attach, discard, keep, map_slices, releasing, ship, slices
+from assayer.llm.common import BROADCAST_ROWS, attach, discard, keep, releasing, ship, slices
 from assayer.llm.components import components
 from assayer.llm.shingles import shingle_sets
 
@@ -417,20 +417,6 @@ def within_bounds(n: np.ndarray, maps: list[bytes], m: np.ndarray, others: list[
     return good
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Pairs a, b with n and bitmap of both that sizes and bitmaps don't exclude."""
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, m = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
-            good = pa.array(np.flatnonzero(within_bounds(n, batch.column(4).to_pylist(), m, batch.column(5).to_pylist())))
-            return pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], ["a", "b"])
-
-        return each
-
-    return map_slices(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"), make, "a long, b long")
-
-
 def _checked(small: DataFrame) -> DataFrame:
     """Broadcast if it is small enough; else joined by a shuffle."""
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
@@ -443,29 +429,25 @@ def renamed(kept: DataFrame, *names: str) -> DataFrame:
     return out
 
 
-def _of_pair(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Adds n and bitmap of both sides; ``a`` may be hot."""
-    pairs = attach(pairs, arrays.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bitmap_a")), "a", narrow=False)
-    return pairs.join(arrays.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bitmap_b")), "b")
-
-
 def _intersect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, part, first, node, hashes come sorted; the first of a cell has the array of a."""
+    """Rows a, part, role, node, n, bitmap, hashes come sorted; the first of a cell has the set a.
+
+    Bounds come first; only what they let through is intersected.
+    """
     cell, mine = None, None
     for batch in slices(batches):
         links: list[tuple[int, int]] = []
-        for a, part, first, node, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes = np.frombuffer(body, np.uint64)
-            if not first:
-                cell, mine = (a, part), hashes.copy()
-            elif cell == (a, part) and linked(mine, hashes):
+        for a, part, role, node, n, bits, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not role:
+                cell, mine = (a, part), (np.array([n]), [bits], np.frombuffer(body, np.uint64).copy())
+            elif cell == (a, part) and within_bounds(mine[0], mine[1], np.array([n]), [bits])[0] and linked(mine[2], np.frombuffer(body, np.uint64)):
                 links.append((a, node))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Links among distinct kept pairs a, b, by exact intersection.
+    """Links among distinct kept pairs a, b, by bounds and exact intersection.
 
     A cell is a set with at most about PARTNERS partners; it gets each array once.
     """
@@ -473,7 +455,7 @@ def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     cells = attach(pairs, many, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
     cells = cells.union(cells.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct())
     cells = F.broadcast(cells) if pairs.count() <= BROADCAST_ROWS // 2 else cells
-    rows = cells.join(arrays.select("node", "hashes"), "node").select("a", "part", "role", "node", "hashes")
+    rows = cells.join(arrays, "node").select("a", "part", "role", "node", "n", "bitmap", "hashes")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(releasing(_intersect), "a long, b long")
 
 
@@ -698,7 +680,7 @@ def _links(arrays: DataFrame, share: Broadcast, splits: np.ndarray, entries: int
         stars = stars.union(heads.where("leader <> top").select("top", "leader"))
         tiles = tiles.join(heads, ["tile", "leader"], "left").select("tile", "node", F.coalesce("top", "leader").alias("leader"))
     stars = keep(stars.distinct(), "stars")
-    links = keep(_verify(keep(_bounded(_of_pair(stars, arrays)), "pairs"), arrays), "verified")
+    links = keep(_verify(stars, arrays), "verified")
     first = keep(components(links), "first")
 
     # What still joins different components.
