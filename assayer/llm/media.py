@@ -7,8 +7,11 @@ samples a line, lossless, with the unpadded length in a text chunk, one row for
 distinct payload.  ``resolve`` joins references to what was read back from the stored
 bytes, by digest; position and caption stay with their reference.
 
-Payloads are shuffled once, compressed; only digests and features meet in the
-join, where a digest that very many documents use meets a broadcast of its one row.
+Only payloads that may occur more than once are shuffled, once, compressed; a broadcast of
+at most ``MOST_SLOTS`` bits tells which, by a hash of the bytes.  Where hashes meet in a bit, so
+where a corpus has very many repeated payloads, single ones are shuffled with them.  The
+payloads are read three times, and must be the same each time.  Only digests and features meet
+in the join, where a digest that very many documents use meets a broadcast of its one row.
 
 Defined cases: null bytes or text count as empty; a payload is padded with
 bytes 255 to a positive multiple of ``WIDTH``, and may itself end in them; texts may be of
@@ -31,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import attach, keep, map_slices
+from assayer.llm.common import attach, discard, keep, map_slices
 
 WIDTH = 576
 LEVEL = 6
+#: Bits that tell repeated payloads from single ones: so many for each repeated one, up to a bound.
+SPARSE, MOST_SLOTS = 64, 1 << 27
 SCHEME = "sha256:"
 #: Keyword of the PNG text chunk that holds the unpadded length.
 LENGTH = b"Length"
@@ -96,20 +101,42 @@ def feature(payload: bytes) -> str:
     return f"mean={1000 * total // n};var={1000 * (n * square - total * total) // (n * n)};hist={steps};ahash={mean_hash:016x}"
 
 
+def _marks(bodies: DataFrame) -> np.ndarray:
+    """A bit for each slot of ``key`` where a key occurs more than once, in words of 64; a key alone may fall on one too."""
+    often = keep(bodies.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "often")
+    slots = min(MOST_SLOTS, 1 << max(6, (SPARSE * often.count()).bit_length()))
+    slot = often.select(F.col("key").bitwiseAND(F.lit(slots - 1)).alias("slot"))
+    words = slot.select(F.expr("shiftright(slot, 6)").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    discard(often)
+    marks = np.zeros(slots >> 6, np.int64)
+    marks[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return marks
+
+
 def store(df: DataFrame, bytes_col: str) -> DataFrame:
     """digest, media: one stored PNG for each distinct payload, by the digest of its unpadded bytes."""
+    bodies = df.select(F.coalesce(F.col(bytes_col), F.expr("X''")).alias("body")).select("body", F.xxhash64("body").alias("key"))
+    shared = df.sparkSession.sparkContext.broadcast(_marks(bodies))
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: dict[str, bytes] = {}
-            for body in batch.column(0).to_pylist():
-                if (digest := hashlib.sha256(body or b"").hexdigest()) not in seen:
-                    seen[digest] = to_png(body or b"")
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.binary())], ["digest", "media"])
+    def made(marked: bool) -> DataFrame:
+        def make():
+            marks = shared.value
 
-        return each
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                slot = batch.column(1).to_numpy() & (64 * len(marks) - 1)
+                mine = (marks[slot >> 6] >> (slot & 63) & 1) == marked
+                seen: dict[str, bytes] = {}
+                for body in batch.column(0).filter(pa.array(mine)).to_pylist():
+                    if (digest := hashlib.sha256(body).hexdigest()) not in seen:
+                        seen[digest] = to_png(body)
+                return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.binary())], ["digest", "media"])
+
+            return each
+
+        return map_slices(bodies, make, "digest string, media binary")
 
-    return map_slices(df.select(F.col(bytes_col).alias("body")), make, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
+    return made(False).union(made(True).groupBy("digest").agg(F.first("media").alias("media")))
 
 
 def read_media(media: DataFrame) -> DataFrame:

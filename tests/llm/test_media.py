@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -87,6 +88,33 @@ def test_frame(spark):
     assert media.store(docs.limit(0).select(F.encode("text", "UTF-8").alias("b")), "b").count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = context._jvm.java.util.ArrayList()
+    stages = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(context._jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_single_payloads_are_not_shuffled(spark):
+    bodies = [random.Random(i).randbytes(20_000) for i in range(200)]
+    df = spark.createDataFrame([(bytearray(b),) for b in bodies + bodies[:10]], "body binary").repartition(5).localCheckpoint()
+    before = shuffled(spark)
+    stored = {r.digest: bytes(r.media) for r in media.store(df, "body").collect()}
+    assert stored == {hashlib.sha256(b).hexdigest(): media.to_png(b) for b in bodies}
+    assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 0.25 * sum(map(len, bodies))
+
+
+@pytest.mark.parametrize("most", [64, 1 << 10, 1 << 27])
+def test_each_payload_is_stored_once_however_few_the_marks(spark, monkeypatch, most):
+    monkeypatch.setattr(media, "MOST_SLOTS", most)
+    bodies = [None, b"", b"a", *(str(i).encode() for i in range(300)), *(str(i).encode() for i in range(0, 300, 2)), *[b"hot"] * 500]
+    df = spark.createDataFrame([(b if b is None else bytearray(b),) for b in bodies], "body binary").repartition(7)
+    got = sorted((r.digest, bytes(r.media)) for r in media.store(df, "body").collect())
+    assert got == sorted((hashlib.sha256(b).hexdigest(), media.to_png(b)) for b in {b or b"" for b in bodies})
+
+
 def test_query_on_odd_rows(spark, tmp_path):
     from assayer.llm import registry
 
