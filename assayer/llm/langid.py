@@ -24,6 +24,7 @@ empty tables; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -45,8 +46,8 @@ LEAST_TEXTS = 2
 ALPHA, WEIGHT, DECLARED = 0.5, 8.0, 1.0
 TEMPER = 8.0
 STRANGE, LEAST = 0.5, 0.6
-#: Words that a task remembers, and their characters; trigrams of one word looked up at a time.
-REMEMBERED, REMEMBERED_CHARS, GRAMS = 120_000, 4_000_000, 10_000
+#: Characters read at a time; up to so many possible trigrams have a table of their own, beyond they are searched for.
+GRAMS, DENSE = 32_768, 1_000_000
 WORDS = re.compile(r"[^\W\d_]+")
 EVIDENCE = "id string, host string, declared string, lang string, loglik array<double>, words long, strange double"
 
@@ -68,42 +69,83 @@ class Model:
         return Reader(self)
 
 
-class Reader(dict):
-    """Row of a word in a growing matrix of its log-likelihoods, trigrams and unseen trigrams."""
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether a code point belongs to a word."""
+    out = np.zeros(0x110000, bool)
+    for found in WORDS.finditer("".join(map(chr, range(len(out))))):
+        out[found.start() : found.end()] = True
+    return out
+
+
+class Reader:
+    """Sums over a text's trigrams by arrays, so that a word costs the same whether it was met before or not.
+
+    A word has a trigram around each of its letters, with a space for a neighbour outside it.  So each position
+    has one line of a table: log-likelihoods, trigrams (1), unseen ones, words (1 at a first letter).  The
+    first line, of positions that hold no letter, is zero; two are for unseen trigrams, one at a first letter.
+    """
 
     def __init__(self, model: Model):
-        self.model = model
-        self.width = len(model.languages) + 2
-        self.rows = np.zeros((1024, self.width))
-        self.chars = 0
-
-    def __missing__(self, word: str) -> int:
-        row = np.zeros(self.width)
-        for start in range(0, len(word), GRAMS):
-            grams = trigrams(word, start, start + GRAMS)
-            known = [self.model.table.get(g) for g in grams]
-            row += [*np.array([k or self.model.unseen for k in known]).sum(0), len(grams), sum(k is None for k in known)]
-        at = len(self)
-        if at >= len(self.rows):
-            self.rows = np.vstack((self.rows, np.zeros_like(self.rows)))
-        self.rows[at] = row
-        self[word] = at
-        self.chars += len(word)
-        return at
+        grams = sorted(model.table)
+        alphabet = sorted({c for g in grams for c in g if c != " "})
+        # 0 stands for a space, 1 for letters that no trigram of the model has.
+        self.codes = letters().astype(np.int32)
+        self.codes[[ord(c) for c in alphabet]] = range(2, len(alphabet) + 2)
+        code = {c: i for i, c in enumerate(alphabet, 2)} | {" ": 0}
+        self.size = len(alphabet) + 2
+        keys = np.array([(code[g[0]] * self.size + code[g[1]]) * self.size + code[g[2]] for g in grams], np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        lines = [(*(0.0 for _ in model.languages), 0, 0, 0), *((*model.unseen, 1, 1, first) for first in (0, 1))]
+        lines += [(*model.table[g], 1, 0, g[0] == " ") for g in (grams[i] for i in order)]
+        self.columns = np.ascontiguousarray(np.array(lines, float).T)
+        self.dense = None
+        if self.size**3 <= DENSE:
+            self.dense = self._search(np.arange(self.size**3))
+
+    def _search(self, keys: np.ndarray) -> np.ndarray:
+        """The line of each trigram, given by the number that its codes make."""
+        before, middle = keys // self.size**2, keys // self.size % self.size
+        line = np.where(middle == 0, 0, np.where(before == 0, 2, 1))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            line = np.where(self.keys[at] == keys, at + 3, line)
+        return line
+
+    def _sums(self, part: str, starts: list[int]) -> np.ndarray:
+        """Sums of the columns from each start to the next; ``part`` has one more character at either side."""
+        codes = self.codes[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
+        keys = (codes[:-2] * self.size + codes[1:-1]) * self.size + codes[2:]
+        line = self._search(keys) if self.dense is None else self.dense[keys]
+        return np.array([np.add.reduceat(column[line], starts) for column in self.columns]).T
+
+    def read_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihoods by text and language, words, shares of unseen trigrams."""
+        lower = [text.lower() for text in texts]
+        total = np.zeros((len(texts), len(self.columns)))
+        at = 0
+        while at < len(lower):
+            end, starts, chars = at + 1, [0], len(lower[at]) + 1
+            while end < len(lower) and chars + len(lower[end]) < GRAMS:  # short texts together
+                starts.append(chars)
+                chars += len(lower[end]) + 1
+                end += 1
+            if end > at + 1 or chars <= GRAMS:
+                total[at:end] = self._sums("\n" + "\n".join(lower[at:end]) + "\n\n", starts)
+            else:  # a long text in parts from its start, so that its sums don't depend on its neighbours
+                text = lower[at]
+                for start in range(0, len(text), GRAMS):
+                    stop = start + GRAMS
+                    total[at] += self._sums((text[start - 1] if start else "\n") + text[start:stop] + (text[stop : stop + 1] or "\n"), [0])[0]
+            at = end
+        words = total[:, -1].astype(np.int64)
+        return total[:, :-3] / np.sqrt(1 + words / TEMPER)[:, None], words, total[:, -2] / np.maximum(1.0, total[:, -3])
 
     def read(self, text: str) -> tuple[list[float], int, float]:
-        """Log-likelihood by language, words, share of unseen trigrams."""
-        words = WORDS.findall(text.lower())
-        total = np.zeros(self.width)
-        for at in range(0, len(words), 50_000):  # in parts, so that the memory of words may be emptied between
-            part = words[at : at + 50_000]
-            if len(self) + len(part) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-                self.clear()
-                self.chars = 0
-            index = [self[w] for w in part]
-            total += self.rows[index].sum(0)
-        grams = max(1.0, total[-2])
-        return (total[:-2] / math.sqrt(1 + len(words) / TEMPER)).tolist(), len(words), float(total[-1] / grams)
+        """The same of one text."""
+        logs, words, strange = self.read_all([text])
+        return logs[0].tolist(), int(words[0]), float(strange[0])
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +219,12 @@ def _evidence(rows: DataFrame, model: Model, extract=None) -> DataFrame:
         reader = own.reader()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            read = []
-            for text, markup in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                read.append(reader.read(extract(markup) if extract and markup is not None else text or ""))
-            top = [own.languages[int(np.argmax(x))] if x and n else None for x, n, _ in read]
+            texts = [extract(markup) if extract and markup is not None else text or "" for text, markup in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            logs, words, strange = reader.read_all(texts)
+            top = [own.languages[i] if n else None for i, n in zip(logs.argmax(1).tolist(), words.tolist(), strict=True)] if own.languages else [None] * len(texts)
+            logs = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(own.languages), logs.ravel())
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(top, pa.string()), pa.array([x for x, _, _ in read], pa.list_(pa.float64())), pa.array([n for _, n, _ in read], pa.int64()), pa.array([s for _, _, s in read], pa.float64())],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(top, pa.string()), logs, pa.array(words), pa.array(strange)],
                 [x.split()[0] for x in EVIDENCE.split(", ")],
             )
 

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -136,3 +137,43 @@ def test_long_words():
     whole = trigrams(word)
     assert whole == [f" {word} "[i : i + 3] for i in range(len(word))]
     assert [g for a in range(0, len(word), GRAMS) for g in trigrams(word, a, a + GRAMS)] == whole
+
+
+def small_model():
+    r = random.Random(4)
+    grams = {f" {w} "[j : j + 3] for x in STEMS for w in [*STEMS[x], "größe", "ſ²", "漢字", "𐐀a"] for j in range(len(w))}
+    return langid.Model(["de", "en"], {g: (-r.random(), -r.random()) for g in sorted(grams)}, (-2.5, -3.5))
+
+
+def test_new_words_cost_no_more_than_known_ones():
+    """Of large tables most words are rare; a word not met before once took many times a known one's time."""
+    r, model, took = random.Random(5), small_model(), {}
+    for kind in ("known", "new"):
+        words = ["abcdef"] * 30_000 if kind == "known" else ["".join(r.choices("abcdefghij", k=6)) for _ in range(30_000)]
+        body, times = " ".join(words), []
+        for _ in range(3):
+            reader = model.reader()
+            start = time.process_time()
+            _, n, _ = reader.read(body)
+            times.append(time.process_time() - start)
+            assert n == len(words)
+        took[kind] = min(times)
+    assert took["new"] < 4 * took["known"]
+
+
+def test_reading_by_its_definition(monkeypatch):
+    r, model = random.Random(6), small_model()
+    alphabet = "thegrößeſ²İΣςK½٣१_-'\n\t\x00 漢字𐐀́‍THE"
+    texts = ["".join(r.choices(alphabet, k=r.choice([0, 1, 2, 3, 50, 900]))) for _ in range(120)] + ["", "a", "the " * 200, "x" * 63, "x" * 64, "x" * 65, "\ud800a"]
+    whole = model.reader().read_all(texts)
+    monkeypatch.setattr(langid, "GRAMS", 64)  # many parts
+    monkeypatch.setattr(langid, "DENSE", 0)  # trigrams are searched for
+    logs, words, strange = model.reader().read_all(texts)
+    for i, body in enumerate(texts):
+        found = re.findall(r"[^\W\d_]+", body.lower())
+        grams = [f" {w} "[j : j + 3] for w in found for j in range(len(w))]
+        want = [math.fsum(model.table.get(g, model.unseen)[x] for g in grams) / math.sqrt(1 + len(found) / langid.TEMPER) for x in range(2)]
+        share = sum(g not in model.table for g in grams) / max(1, len(grams))
+        for got in ((logs, words, strange), whole):
+            assert got[1][i] == len(found) and got[2][i] == share and max(abs(a - b) for a, b in zip(got[0][i], want)) < 1e-9
+        assert model.reader().read(body) == (logs[i].tolist(), words[i], strange[i])  # whatever its neighbours
